@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: list = []
+from siftline.llm import queries_split
+
+_MODULES = [queries_split]
 
 
 def queries() -> dict:
