@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import queries_split
+from siftline.llm import queries_pack, queries_split
 
-_MODULES = [queries_split]
+_MODULES = [queries_split, queries_pack]
 
 
 def queries() -> dict:
