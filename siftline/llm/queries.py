@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import queries_pack, queries_split
+from siftline.llm import queries_leak, queries_pack, queries_split
 
-_MODULES = [queries_split, queries_pack]
+_MODULES = [queries_split, queries_pack, queries_leak]
 
 
 def queries() -> dict:
