@@ -131,7 +131,7 @@ def _assign(shared, probes: int, code: bool):
 
 def _scan(shared, k: int, rerank: int, least: float):
     def scan(key, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"rid": [], "near": [], "sims": []})
+        none = pd.DataFrame({"rid": pd.Series(dtype="int64"), "near": pd.Series(dtype=object), "sims": pd.Series(dtype=object)})
         if not len(queries) or not len(entries):
             return none
         model, ids = shared.value, entries["rid"].to_numpy()
