@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import queries_ann, queries_leak, queries_neardup, queries_pack, queries_split, queries_subjects
+from siftline.llm import queries_ann, queries_leak, queries_neardup, queries_ocr, queries_pack, queries_split, queries_subjects
 
-_MODULES = [queries_split, queries_ann, queries_neardup, queries_pack, queries_leak, queries_subjects]
+_MODULES = [queries_split, queries_ocr, queries_ann, queries_neardup, queries_pack, queries_leak, queries_subjects]
 
 
 def queries() -> dict:
