@@ -72,7 +72,7 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     # two fields and the query's terms: both tables are of a size the query bounds
     scored = hits.join(F.broadcast(dfs.join(F.broadcast(sizes), "field")), ["field", "term"])
     part = bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return scored.groupBy("path").agg(F.sum(part).alias("score"))
+    return scored.groupBy("path").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def content_search(docs: DataFrame, query: str, limit: int, extension: str | None = None, fuzzy: bool = False) -> DataFrame:
@@ -133,7 +133,7 @@ def fuzzy_hits(docs: DataFrame, query: str) -> DataFrame:
     dfs = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     scored = hits.join(dfs, ["field", "term"]).join(lengths, ["path", "field"]).join(F.broadcast(sizes), "field")
     part = bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return scored.groupBy("path").agg((F.sum(part) * 0.5).alias("score"))
+    return scored.groupBy("path").agg(F.round(F.sum(part) * 0.5, 9).alias("score"))
 
 
 def index_delete(posts: DataFrame, paths: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.plans import snapshots
+from siftline.plans import snapshots, tables
 
-_MODULES = [snapshots]
+_MODULES = [snapshots, tables]
 
 
 def flagship(spark, sf_dir):
