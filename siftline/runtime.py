@@ -32,16 +32,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     if not _STAGED:
+        atexit.unregister(_sweep)
         atexit.register(_sweep)
     _STAGED[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the table that ``stage`` returned; nothing that is still to be run may read it."""
+    path = df._staged_at
+    _remove(_STAGED.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def _sweep() -> None:
-    for path, spark in _STAGED.items():
+    for path, spark in list(_STAGED.items()):
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone
             return
 
