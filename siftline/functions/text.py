@@ -71,10 +71,10 @@ def first_line(x: Column) -> Column:
 
 def truncate(x: Column, most: int) -> Column:
     """At most ``most`` bytes of UTF-8, cut between characters."""
-    cut = F.encode(x, "UTF-8")
-    head = F.substring(cut, 1, most)
-    # an unfinished last character is left out
-    return F.when(F.octet_length(x) <= most, x).otherwise(F.regexp_replace(F.decode(head, "UTF-8"), "�+$", ""))
+    # each leading character counts its bytes; those past the limit go
+    head = F.substring(x, 1, most)
+    ends = F.aggregate(F.split(head, ""), F.struct(F.lit(0).alias("n"), F.lit(0).alias("b")), lambda a, c: F.when(a["b"] + F.octet_length(c) <= most, F.struct((a["n"] + F.length(c)).alias("n"), (a["b"] + F.octet_length(c)).alias("b"))).otherwise(F.struct(a["n"].alias("n"), F.lit(most + 1).alias("b"))))
+    return F.when(F.octet_length(x) <= most, x).when(F.octet_length(head) == F.length(head), head).otherwise(head.substr(F.lit(1), ends["n"]))
 
 
 def collapse_ws(x: Column, most: int = K.DOC_CHARS) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from siftline.functions import constants as K
 from siftline.functions.scoring import bm25_term
-from siftline.functions.text import tokens
+from siftline.functions.text import tokens, truncate
 
 FIELDS = ["content", "filename"]
 
@@ -20,8 +20,7 @@ def extractable(files: DataFrame) -> DataFrame:
 
 def extract_text(content):
     """The first bytes of a text file, as far as they are read."""
-    raw = F.encode(content, "UTF-8")
-    return F.when(F.octet_length(content) <= K.TEXT_BYTES, content).otherwise(F.decode(F.substring(raw, 1, K.TEXT_BYTES), "UTF-8"))
+    return truncate(content, K.TEXT_BYTES)
 
 
 def postings(docs: DataFrame) -> DataFrame:

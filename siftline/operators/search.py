@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import constants as K
 from siftline.functions.parse import DIRECTORY, parse_query
-from siftline.functions.paths import under
+from siftline.functions.paths import extension_of, filename_of, under
 from siftline.functions.scoring import content_score, recency, semantic_score, tier_bucket, type_bonus
 from siftline.functions.text import filename_tier, snippet, typo_match
 from siftline.operators.fulltext import content_search
@@ -80,7 +80,10 @@ def merge(files: DataFrame, names: DataFrame, content: DataFrame | None, semanti
             out = out.join(other, "path", "full_outer")
     known = files.select("path", "modified_ts", "extension", "size_bytes", "is_dir", "filename")
     out = out.join(known, "path", "left").withColumn("modified_ts", F.coalesce("modified_ts", F.lit(0)))
-    base = F.coalesce("name_score", content_score(F.col("bm25"), F.col("modified_ts"), F.col("extension"), now), semantic_score(F.col("similarity"), F.col("modified_ts"), F.col("extension"), now))
+    unknown = F.col("is_dir").isNull()
+    out = out.withColumn("extension", F.when(unknown, extension_of(F.col("path"))).otherwise(F.col("extension"))).withColumn("filename", F.when(unknown, filename_of(F.col("path"))).otherwise(F.col("filename")))
+    of_content = F.when(F.col("bm25").isNotNull(), content_score(F.col("bm25"), F.col("modified_ts"), F.col("extension"), now))
+    base = F.coalesce("name_score", of_content, semantic_score(F.col("similarity"), F.col("modified_ts"), F.col("extension"), now))
     both = F.when(F.col("name_score").isNotNull() & F.col("bm25").isNotNull(), K.BOTH + 50.0).otherwise(0.0)
     first = F.col("name_score").isNull() & F.col("bm25").isNull()
     near = F.when(~first & F.col("similarity").isNotNull(), K.BOTH + F.col("similarity") * 200.0).otherwise(0.0)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siftline.plans import snapshots, tables
+from siftline.plans import ranking, snapshots, tables, texts
 
-_MODULES = [snapshots, tables]
+_MODULES = [ranking, snapshots, tables, texts]
 
 
 def flagship(spark, sf_dir):
-    return snapshots.p3_found(spark, sf_dir)
+    """Unified search, the whole ranked list."""
+    return ranking.QUERIES["unified_search"](spark, sf_dir)
 
 
 def queries() -> dict:

@@ -93,5 +93,5 @@ CTE = {
 def sql(query: str, **more: str) -> str:
     """``query`` after the views it names, and more common table expressions, in order."""
     body = " ".join([query, *more.values()])
-    used = {k: v for k, v in CTE.items() if k in body} | more
+    used = {k: v for k, v in CTE.items() if k in body and k not in more} | more
     return ("WITH " + ",\n".join(f"{k} AS ({v})" for k, v in used.items()) + "\n" if used else "") + query
