@@ -73,9 +73,9 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 2000, overlap:
         lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1)), F.lit(0)) + F.length(x))),
     )
     rows = rows.filter(F.col("_text").rlike(r"(?U)\S")).withColumn("_spans", spans).withColumn("_ends", ends)
-    cells = rows.select("_key", "_text", F.size("_spans").alias("_n"), F.posexplode(F.arrays_zip("_spans", "_ends")).alias("no", "cell"))
+    cells = rows.select("_key", "_text", F.col("_raw").isNull().alias("_whole"), F.size("_spans").alias("_n"), F.posexplode(F.arrays_zip("_spans", "_ends")).alias("no", "cell"))
     span, lead = F.col("cell._spans"), F.length(F.regexp_extract("cell._spans", r"(?U)\A\s*", 0))
-    one = F.col("_n") == 1
+    one = F.col("_whole")  # a text within the limit stays as it stands
     body = F.when(one, F.length(span)).otherwise(F.length(F.regexp_replace(span, r"(?U)\A\s+|\s+\z", "")))
     first = F.when(one, F.lit(1)).otherwise(F.col("cell._ends") - F.length(span) + lead + 1)
     cells = cells.select("_key", "_text", "no", "_n", first.alias("first"), body.alias("body"), cut_kind(span).alias("kind")).filter("body > 0")
