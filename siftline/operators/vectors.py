@@ -36,7 +36,7 @@ def fit_lsh(vectors: DataFrame, dim: int, seed: int = 3):
     fit = vectors.filter(usable_vector(F.col("vector"), dim))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     # the optimiser may make vectors of rows before it filters them
-    scaled = F.coalesce(F.transform("vector", lambda x: F.try_divide(x.cast("double"), F.col("norm"))), F.array(F.lit(0.0)))
+    scaled = F.when(usable_vector(F.col("vector"), dim) & (F.col("norm") > 0), F.transform("vector", lambda x: x.cast("double") / F.col("norm"))).otherwise(F.array_repeat(F.lit(0.0), dim))
     unit = fit.withColumn("norm", norm).filter("norm > 0").select("path", "vec_id", "vector", array_to_vector(scaled).alias("unit"))
     lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=1.0, numHashTables=6, seed=seed)
     return lsh.fit(unit), unit
