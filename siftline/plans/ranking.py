@@ -82,15 +82,15 @@ def _product(spark, d):
 def _stream(spark, d):
     """The journal replayed as a stream, twice; the files table after it."""
     import os
+    from urllib.parse import urlparse
 
     from siftline.runtime import checkpoint_dir
     from siftline.sources.store import Store
     from siftline.streaming import journal
 
-    base = checkpoint_dir(spark).removeprefix("file:")
-    base = "/" + base.lstrip("/") if os.path.isdir("/" + base.lstrip("/")) or base.startswith("/") else tempfile.mkdtemp()
-    os.makedirs(base, exist_ok=True)
-    root = tempfile.mkdtemp(prefix="stream-", dir=base)
+    shared = urlparse(checkpoint_dir(spark)).path
+    os.makedirs(shared, exist_ok=True)
+    root = tempfile.mkdtemp(prefix="stream-", dir=shared)
     store = Store(root + "/store")
     store.publish({"files": V.files(spark, d)})
     V.changes(spark, d).repartitionByRange(4, "event_id").write.parquet(root + "/journal")
