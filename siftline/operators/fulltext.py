@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.functions import constants as K
 from siftline.functions.scoring import bm25_term
 from siftline.functions.text import tokens, truncate
+from siftline.runtime import stage
 
 FIELDS = ["content", "filename"]
 
@@ -47,31 +48,32 @@ def query_terms(query: str) -> list[str]:
 
 
 def matching(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings of the query's terms only, with document lengths, from one pass over the texts: (path, field, term, tf, dl)."""
+    """(path, extension, field, dl, tfs): length and count of each query term of every field, from one pass over the texts."""
     wanted = F.array(*[F.lit(t) for t in terms])
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in FIELDS])).alias("x")
-    rows = docs.select("path", fields).select("path", "x.field", "x.terms", F.greatest(F.size("x.terms"), F.lit(0)).alias("dl"))
-    counted = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda w: w == t)).alias("tf")))
-    return rows.select("path", "field", "dl", counted.alias("hits"))
+    kind = F.col("extension") if "extension" in docs.columns else F.lit(None).cast("string").alias("extension")
+    rows = docs.select("path", kind, fields).select("path", "extension", "x.field", "x.terms")
+    counted = F.transform(wanted, lambda t: F.size(F.filter("terms", lambda w: w == t)))
+    return rows.select("path", "extension", "field", F.greatest(F.size("terms"), F.lit(0)).alias("dl"), counted.alias("tfs"))
 
 
 def bm25(docs: DataFrame, query: str) -> DataFrame:
-    """(path, score) of the documents with a query term in any field; exact lengths, statistics over all documents.
+    """(path, extension, score) of the documents with a query term in any field; exact lengths, statistics over all documents.
 
-    The texts are passed once; only matching documents are joined with the statistics, one row per term and field. Null texts
-    are empty; a query without a word matches nothing.
+    The texts are passed once, leaving a few numbers a document in a staged table. Null texts are empty; a query without a
+    word matches nothing.
     """
     terms = query_terms(query)
     if not terms:
-        return docs.sparkSession.createDataFrame([], "path string, score double")
-    rows = matching(docs, terms)
-    sizes = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = rows.select("path", "field", "dl", F.explode("hits").alias("h")).filter("h.tf > 0").select("path", "field", "dl", "h.term", "h.tf")
-    dfs = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    # two fields and the query's terms: both tables are of a size the query bounds
-    scored = hits.join(F.broadcast(dfs.join(F.broadcast(sizes), "field")), ["field", "term"])
-    part = bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return scored.groupBy("path").agg(F.round(F.sum(part), 9).alias("score"))
+        return docs.sparkSession.createDataFrame([], "path string, extension string, score double")
+    rows = stage(matching(docs, terms), "term-counts")
+    dfs = F.array(*[F.sum(F.when(F.col("tfs")[i] > 0, 1).otherwise(0)) for i in range(len(terms))])
+    stats = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("dfs"))
+    hits = rows.filter(F.exists("tfs", lambda x: x > 0)).join(F.broadcast(stats), "field")  # one row a field
+    part = F.lit(0.0)
+    for i in range(len(terms)):
+        part = part + F.when(F.col("tfs")[i] > 0, bm25_term(F.col("tfs")[i], F.col("dfs")[i], F.col("dl"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
+    return hits.groupBy("path").agg(F.first("extension").alias("extension"), F.round(F.sum(part), 9).alias("score"))
 
 
 def content_search(docs: DataFrame, query: str, limit: int, extension: str | None = None, fuzzy: bool = False) -> DataFrame:
@@ -81,11 +83,10 @@ def content_search(docs: DataFrame, query: str, limit: int, extension: str | Non
     """
     hits = bm25(docs, query)
     if fuzzy and hits.limit(3).count() < 3:
-        hits = hits.unionByName(fuzzy_hits(docs, query).join(hits, "path", "left_anti"))
+        close = fuzzy_hits(docs, query).join(docs.select("path", "extension"), "path").select("path", "extension", "score")
+        hits = hits.unionByName(close.join(hits, "path", "left_anti"))
     top = hits.orderBy(F.desc("score"), "path").limit(4 * limit)
-    best = top.agg(F.max("score").alias("best"))
-    kept = top.crossJoin(F.broadcast(best)).filter("score >= 0.2 * best").drop("best")  # best is one row
-    kept = kept.join(docs.select("path", "extension"), "path")
+    kept = top.withColumn("best", F.max("score").over(Window.partitionBy(F.lit(1)))).filter("score >= 0.2 * best").drop("best")  # 4 x limit rows
     if extension:
         kept = kept.filter(F.col("extension") == extension)
     return kept.orderBy(F.desc("score"), "path").limit(2 * limit)

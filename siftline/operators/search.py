@@ -15,6 +15,7 @@ from siftline.functions.text import filename_tier, snippet, typo_match
 from siftline.operators.fulltext import content_search
 from siftline.operators.fuzzy import fuzzy_score
 from siftline.operators.interactions import for_candidates
+from siftline.runtime import stage
 
 
 @dataclass
@@ -96,6 +97,7 @@ def merge(files: DataFrame, names: DataFrame, content: DataFrame | None, semanti
 def ranked(merged: DataFrame, interactions: DataFrame | None, now: int, limit: int) -> DataFrame:
     """With the use boost, in order of tier bucket, time and path; at least one row is asked for."""
     if interactions is not None:
+        merged = stage(merged, "candidates")  # read for the candidates' events and for the list itself
         boosts = for_candidates(interactions, merged, now).select("path", "boost", "interactions")
         merged = merged.join(boosts, "path", "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0))).drop("boost")
     else:
