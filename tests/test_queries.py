@@ -3,10 +3,8 @@ import pytest
 from siftline.plans import catalogue
 from tests.oracle import compare
 
-SLOW = {"stream_sync"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_against_sql(spark, sf, name):
     compare(spark, sf, catalogue.queries()[name], catalogue.oracle_sql()[name])
 
