@@ -142,6 +142,23 @@ def test_hot_class_is_a_star(spark):
     assert neardup.expand_pairs(members, links, expand=5).count() == 10
 
 
+def test_large_classes_are_paired_in_full(spark):
+    names = [f"syslog_of_host.{i}" for i in range(230)] + ["syslog-of-hosts.txt", "other words"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, filename string")
+    got = [tuple(r) for r in neardup.similar_names(df, "id", "filename", 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(231) for a in range(b)}
+    text = "the same text of more than eight words stands in many rows"
+    df = spark.createDataFrame([(i, text) for i in range(230)] + [(230, text + " here")], "id long, content string")
+    assert {tuple(r) for r in neardup.similar_texts(df, "id", "content").collect()} == {(a, b) for b in range(231) for a in range(b)}
+
+
+def test_pairs_in_blocks(spark):
+    members = spark.createDataFrame([(i, 0, 50) for i in range(50)] + [(i, 50, 30) for i in range(50, 80)] + [(80, 80, 1)], "id long, class_id long, copies long")
+    links = spark.createDataFrame([(0, 50, 0.8), (50, 80, 0.8)], "a long, b long, jaccard double")
+    got = [tuple(r) for r in neardup.expand_pairs(members, links, block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(81) for a in range(b) if (a, b) not in {(x, 80) for x in range(50)}}
+
+
 def test_split_lists_lose_no_pair():
     size, pos = np.array([10] * 60), np.zeros(60, dtype=int)
     pairs = [x for u, v in neardup.list_pairs(np.array([0]), np.array([60]), size, pos, 0.6) for x in zip(u, v)]
