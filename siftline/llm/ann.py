@@ -25,12 +25,17 @@ TRAIN_ROWS = 65_536
 LIST_ROWS, MAX_LISTS, BLOCK = 256, 4096, 8192
 #: Sub-spaces and codes of the product quantiser.
 PARTS, CODES = 8, 256
+#: Lists of a cell: a query is sent once to each cell that has lists it probes.
+CELL_LISTS = 8
+#: Vectors whose true neighbours are found by brute force, and the share of these that the probed lists must hold.
+ASKED, HELD = 512, 0.97
 
 
 @dataclass
 class Quantiser:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # parts x codes x dim / parts
+    cells: np.ndarray  # the cell of each list
 
     def encode(self, v: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = (v - self.centroids[lists]).reshape(len(v), len(self.books), -1)
@@ -81,7 +86,9 @@ def fit(sample: np.ndarray, lists: int, parts: int = PARTS, rounds: int = 8, see
         found = kmeans(np.ascontiguousarray(rest[:, m]), CODES, rounds, seed + m)
         books[m, : len(found)] = found
         books[m, len(found) :] = found[:1]
-    return Quantiser(centroids.astype(np.float32), books)
+    centroids = centroids.astype(np.float32)
+    cells = nearest(centroids, kmeans(centroids, -(-len(centroids) // CELL_LISTS), rounds, seed))[0]
+    return Quantiser(centroids, books, cells.astype(np.int32))
 
 
 def _usable(dim: int):
@@ -121,47 +128,92 @@ def _assign(shared, probes: int, code: bool):
             if code:
                 lists = nearest(v, model.centroids)[0]
                 codes = [x.tobytes() for x in model.encode(v, lists)]
-                yield pd.DataFrame({"rid": pdf["rid"], "list": lists.astype(np.int32), "code": codes, "unit": pdf["unit"]})
+                yield pd.DataFrame({"rid": pdf["rid"], "cell": model.cells[lists], "list": lists.astype(np.int32), "code": codes, "unit": pdf["unit"]})
             else:
                 lists = np.stack(nearest(v, model.centroids, min(probes, len(model.centroids))), 1).astype(np.int32)
-                yield pd.DataFrame({"rid": pdf["rid"], "lists": list(lists), "unit": pdf["unit"]})
+                yield pd.DataFrame({"rid": pdf["rid"], "lists": list(model.cells[lists] * MAX_LISTS + lists), "unit": pdf["unit"]})
 
     return assign
 
 
+def _best_of(model: Quantiser, one: int, q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int, rerank: int, least: float):
+    """Similarities and ids of the k best entries of one list for each query, best first; -2 where there is none."""
+    if len(v) > rerank:
+        tables = model.tables(q)
+        guess = np.repeat((q @ model.centroids[one])[:, None], len(v), axis=1)
+        for m in range(codes.shape[1]):
+            guess += np.take(tables[:, m], codes[:, m], axis=1)
+        top = np.argpartition(-guess, rerank - 1, axis=1)[:, :rerank]
+        exact = np.einsum("qrd,qd->qr", v[top], q, optimize=True)
+    else:
+        top = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
+        exact = q @ v.T
+    exact = np.where((ids[top] == qid[:, None]) | (exact < least), -2.0, exact)
+    order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
+    return np.take_along_axis(exact, order, 1), ids[np.take_along_axis(top, order, 1)]
+
+
+def _true_lists(shared, k: int, least: float):
+    def true(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        sims, lists = np.full((len(q), k), -2.0), np.zeros((len(q), k), dtype=np.int32)
+        for pdf in batches:
+            for s in range(0, len(pdf), 4096):
+                part = pdf.iloc[s : s + 4096]
+                now = q @ _matrix(part["unit"]).T
+                now = np.where((part["rid"].to_numpy() == ids[:, None]) | (now < least), -2.0, now)
+                now, of = np.hstack([sims, now]), np.hstack([lists, np.broadcast_to(part["list"].to_numpy(), now.shape)])
+                top = np.argpartition(-now, k - 1, axis=1)[:, :k]
+                sims, lists = np.take_along_axis(now, top, 1), np.take_along_axis(of, top, 1)
+        row, col = np.nonzero(sims > -2.0)
+        yield pd.DataFrame({"q": row.astype(np.int32), "sim": sims[row, col], "list": lists[row, col]})
+
+    return true
+
+
+def enough_probes(index: DataFrame, model: Quantiser, ids: np.ndarray, q: np.ndarray, k: int, least: float, probes: int) -> int:
+    """How many lists must be probed (``probes`` at least) to hold the share HELD of the true neighbours of the queries, found by brute force over all vectors."""
+    if len(model.centroids) <= probes:
+        return probes
+    shared = index.sparkSession.sparkContext.broadcast((ids, q))
+    found = index.select("rid", "list", "unit").mapInPandas(_true_lists(shared, k, least), "q int, sim double, list int")
+    cell = F.struct((-F.col("sim")).alias("d"), "list")
+    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(cell)), 1, k).alias("b")).select("q", "b.list").collect()  # ASKED rows of k
+    if not best:
+        return probes
+    rank = np.argsort(np.stack(nearest(q, model.centroids, len(model.centroids)), 1), axis=1)
+    needed = np.sort(np.concatenate([rank[r["q"], r["list"]] for r in best])) + 1
+    return max(probes, int(needed[int(np.ceil(HELD * len(needed))) - 1]))
+
+
 def _scan(shared, k: int, rerank: int, least: float):
     def scan(key, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"rid": pd.Series(dtype="int64"), "near": pd.Series(dtype=object), "sims": pd.Series(dtype=object)})
         if not len(queries) or not len(entries):
             return none
-        model, ids = shared.value, entries["rid"].to_numpy()
-        v = _matrix(entries["unit"])
+        model, ids, of_list = shared.value, entries["rid"].to_numpy(), entries["list"].to_numpy()
+        v, every, qids = _matrix(entries["unit"]), _matrix(queries["unit"]), queries["rid"].to_numpy()
         codes = np.frombuffer(b"".join(entries["code"]), np.uint8).reshape(len(v), -1)
-        center = model.centroids[int(key[0])]
-        rids, near, sims = [], [], []
-        step = max(16, 2_000_000 // len(v))
-        for s in range(0, len(queries), step):
-            q, qid = _matrix(queries["unit"].iloc[s : s + step]), queries["rid"].to_numpy()[s : s + step]
-            if len(v) > rerank:
-                tables = model.tables(q)
-                guess = np.repeat((q @ center)[:, None], len(v), axis=1)
-                for m in range(codes.shape[1]):
-                    guess += np.take(tables[:, m], codes[:, m], axis=1)
-                top = np.argpartition(-guess, rerank - 1, axis=1)[:, :rerank]
-                exact = np.einsum("qrd,qd->qr", v[top], q, optimize=True)
-            else:
-                top = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
-                exact = q @ v.T
-            exact = np.where((ids[top] == qid[:, None]) | (exact < least), -2.0, exact)
-            order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-            best = np.take_along_axis(exact, order, 1)
-            found = ids[np.take_along_axis(top, order, 1)]
-            for i in np.flatnonzero(best[:, 0] > -2.0):
-                n = int((best[i] > -2.0).sum())
-                rids.append(qid[i])
-                near.append(found[i, :n])
-                sims.append(best[i, :n].astype(np.float64))
-        return pd.DataFrame({"rid": rids, "near": near, "sims": sims}) if rids else none
+        asked = np.repeat(np.arange(len(queries)), [len(x) for x in queries["lists"]])
+        probed = np.concatenate(queries["lists"].to_list()) % MAX_LISTS
+        rows, near, sims = [], [], []
+        for one in np.unique(of_list):
+            mine, who = np.flatnonzero(of_list == one), asked[probed == one]
+            for s in range(0, len(who), step := max(16, 2_000_000 // len(mine))):
+                row = who[s : s + step]
+                best, found = _best_of(model, one, every[row], qids[row], v[mine], ids[mine], codes[mine], k, rerank, least)
+                held = best > -2.0
+                rows.append(np.repeat(row, held.sum(1)))
+                near.append(found[held])
+                sims.append(best[held])
+        if not rows or not sum(map(len, rows)):
+            return none
+        row, other, sim = np.concatenate(rows), np.concatenate(near), np.concatenate(sims).astype(np.float64)
+        order = np.lexsort((other, -sim, row))
+        row, other, sim = row[order], other[order], sim[order]
+        which, first, n = np.unique(row, return_index=True, return_counts=True)
+        ends = first + np.minimum(n, k)
+        return pd.DataFrame({"rid": qids[which], "near": [other[a:z] for a, z in zip(first, ends)], "sims": [sim[a:z] for a, z in zip(first, ends)]})
 
     return scan
 
@@ -171,25 +223,31 @@ def nearest_classes(classes: DataFrame, k: int, probes: int, rerank: int, least:
     spark = classes.sparkSession
     n = classes.count()
     part = classes if n <= train_rows else classes.filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
-    sample = part.orderBy(F.xxhash64("rid")).limit(train_rows).select("unit").toPandas()["unit"]  # at most train_rows vectors
+    sample = part.orderBy(F.xxhash64("rid")).limit(train_rows).select("rid", "unit").toPandas()  # at most train_rows vectors
     if not len(sample):
         return spark.createDataFrame([], "rid long, other long, sim double")
-    model = spark.sparkContext.broadcast(fit(_matrix(sample), max(1, min(MAX_LISTS, n // LIST_ROWS))))
-    index = stage(classes.mapInPandas(_assign(model, probes, True), "rid long, list int, code binary, unit binary"), "vector-index")
+    learned = fit(_matrix(sample["unit"]), max(1, min(MAX_LISTS, n // LIST_ROWS)))
+    model = spark.sparkContext.broadcast(learned)
+    index = stage(classes.mapInPandas(_assign(model, probes, True), "rid long, cell int, list int, code binary, unit binary"), "vector-index")
+    some = sample.iloc[:ASKED]
+    probes = enough_probes(index, learned, some["rid"].to_numpy(), _matrix(some["unit"]), k, least, probes)
     asked = stage(classes.mapInPandas(_assign(model, probes, False), "rid long, lists array<int>, unit binary"), "vector-queries")
-    # one row per list, MAX_LISTS at most
-    entries = dict(index.groupBy("list").count().collect())
-    queries = dict(asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect())
+    # one row per cell, MAX_LISTS at most
+    of = lambda x: F.shiftright(x, MAX_LISTS.bit_length() - 1)
+    sent = asked.select("rid", "unit", "lists", F.explode(F.array_distinct(F.transform("lists", of))).alias("cell"))
+    entries = dict(index.groupBy("cell").count().collect())
+    queries = dict(sent.groupBy("cell").count().collect())
     plan = spark.createDataFrame(
         [(int(c), -(-n // BLOCK), -(-queries.get(c, 0) // BLOCK)) for c, n in entries.items() if queries.get(c)] or [(-1, 1, 1)],
-        "list int, eblocks int, qblocks int",
+        "cell int, eblocks int, qblocks int",
     )
     plan = F.broadcast(plan)
     own = lambda blocks: F.pmod(F.xxhash64("rid"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    left = asked.select("rid", "unit", F.explode("lists").alias("list")).join(plan, "list").select("list", own("qblocks").alias("qb"), every("eblocks").alias("eb"), "rid", "unit")
-    right = index.join(plan, "list").select("list", every("qblocks").alias("qb"), own("eblocks").alias("eb"), "rid", "code", "unit")
-    key = ["list", "qb", "eb"]
+    sent = sent.withColumn("lists", F.filter("lists", lambda x: of(x) == F.col("cell")))
+    left = sent.join(plan, "cell").select("cell", own("qblocks").alias("qb"), every("eblocks").alias("eb"), "rid", "unit", "lists")
+    right = index.join(plan, "cell").select("cell", every("qblocks").alias("qb"), own("eblocks").alias("eb"), "rid", "list", "code", "unit")
+    key = ["cell", "qb", "eb"]
     found = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_scan(model, k, rerank, least), "rid long, near array<long>, sims array<double>")
     cells = F.transform(F.arrays_zip("near", "sims"), lambda x: F.struct((-x["sims"]).alias("d"), x["near"].alias("other")))
     best = found.groupBy("rid").agg(F.slice(F.array_sort(F.flatten(F.collect_list(cells))), 1, k).alias("b"))  # at most k a block
@@ -203,7 +261,7 @@ def similar_vectors(
 
     Usable is what ``usable_vectors`` says: null, short, long, zero and non-finite vectors, superseded rows, null paths and
     null ids are in no result. Ties go to the smaller id; copies are neighbours like others, at similarity 1. The search
-    is approximate in which lists are probed and which candidates are reranked, never in the similarities. Empty tables
+    is approximate in which lists are probed (``probes`` at least, and as many as ``enough_probes`` finds are needed) and which candidates are reranked, never in the similarities. Empty tables
     give no rows; other columns are ignored.
     """
     rows = stage(usable_vectors(vectors, dim), "vectors")

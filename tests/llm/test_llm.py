@@ -100,6 +100,19 @@ def test_vectors_against_brute_force(spark):
     assert ann.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_probes_grow_with_the_lists(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(12_000, 16)) @ rng.normal(size=(16, 64))
+    df = spark.createDataFrame([(i, f"/p/{i}", x, 5) for i, x in enumerate(v.tolist())], "vec_id long, path string, vector array<float>, mtime long")
+    got = ann.similar_vectors(df, k=10).toPandas()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    some = got[got.vec_id < 400]
+    sims = unit[:400] @ unit.T
+    sims[np.arange(400), np.arange(400)] = -2
+    kth = np.sort(sims, axis=1)[:, -10]
+    assert np.mean([sims[a, b] >= kth[a] - 1e-6 for a, b in zip(some.vec_id, some.other_id)]) >= 0.9
+
+
 # near-duplicates
 
 
