@@ -254,3 +254,10 @@ def test_line_marks_edge_cases(spark):
     assert ocr.repaired_paragraphs(spark.createDataFrame(rows, schema)).count() >= 1
 
 
+def test_paragraphs_go_on_over_block_ends(spark):
+    schema = "ocr_id long, path string, page_no int, text string, confidence double, error string"
+    n = ocr.BLOCK_PAGES
+    pages = {n - 2: "the modern house is below.", n - 1: "   the outline of the day con-", n: "tinues here and", 2 * n: "is well known\n\nwater is below.", 3 * n: "   again the house"}
+    rows = [(i, "/a", i, x, 0.9, None) for i, x in pages.items()] + [(1000 + i, f"/b{i}", 1, "the day continues here and the water is below the house again", 0.9, None) for i in range(5)]
+    got = [tuple(r) for r in ocr.repaired_paragraphs(spark.createDataFrame(rows, schema)).filter("path = '/a'").orderBy("block", "paragraph_no").select("block", "page_no", "text").collect()]
+    assert got == [(0, n - 2, "the modern house is below."), (0, n - 1, "the outline of the day continues here and is well known"), (2, 2 * n, "water is below."), (3, 3 * n, "again the house")]
