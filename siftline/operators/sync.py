@@ -10,6 +10,9 @@ from siftline.functions.paths import parent_of, under_roots
 # fixed values: bits of a change journal's flags
 HISTORY_DONE, MUST_SCAN, CREATED, REMOVED, RENAMED, MODIFIED, IS_FILE = 0x10, 0x1, 0x100, 0x200, 0x800, 0x1000, 0x10000
 
+#: Complete roots that come to the driver, at most.
+MAX_ROOTS = 10_000
+
 
 def diff_new(scanned: DataFrame, indexed: DataFrame) -> DataFrame:
     return scanned.join(indexed.select("path"), "path", "left_anti")
@@ -22,10 +25,16 @@ def diff_modified(scanned: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def diff_deleted(scanned: DataFrame, indexed: DataFrame, complete_roots: DataFrame) -> DataFrame:
-    """Indexed rows not seen by the scan, below roots whose walk was complete only; ``complete_roots`` has a few rows of (root)."""
+    """Indexed rows not seen by the scan, below roots whose walk was complete only; more than MAX_ROOTS roots (root) are joined."""
     gone = indexed.join(scanned.select("path"), "path", "left_anti")
-    roots = [r[0] for r in complete_roots.select("root").distinct().limit(10_000).collect()]
-    return gone.filter(under_roots(F.col("path"), roots))
+    roots = [r[0] for r in complete_roots.select("root").distinct().limit(MAX_ROOTS + 1).collect()]
+    if len(roots) <= MAX_ROOTS:
+        return gone.filter(under_roots(F.col("path"), roots))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i - 1), "/"), F.when(i > 1, "/").otherwise("")))
+    places = gone.select("path", F.explode(F.concat(F.array("path"), F.slice(above, 2, F.size(parts)))).alias("root"))
+    keys = complete_roots.select(F.explode(F.array("root", F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/")))).alias("root"))
+    return gone.join(places.join(keys, "root", "left_semi").select("path"), "path", "left_semi")
 
 
 def changed_for_content(new: DataFrame, modified: DataFrame) -> DataFrame:

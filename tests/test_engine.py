@@ -101,3 +101,14 @@ def test_diff_and_drift(spark):
 def test_empty_tables(spark, tables):
     files, docs = tables
     assert unified_search(files.limit(0), docs.limit(0), "anything", Options(now=NOW)).count() == 0
+
+
+def test_deletions_below_very_many_roots(spark):
+    from siftline.operators.sync import MAX_ROOTS, diff_deleted
+
+    n = MAX_ROOTS + 50
+    roots = spark.createDataFrame([(f"/r/{i}" + "/" * (i % 2),) for i in range(n)], "root string")
+    indexed = spark.createDataFrame([(f"/r/{i}/a/b.txt",) for i in range(n)] + [("/r/4",), ("/r/5",), ("/r/6x/a",), ("/s",), ("x",), ("/r/7/seen",)], "path string")
+    scanned = spark.createDataFrame([("/r/7/seen",)], "path string")
+    got = [r[0] for r in diff_deleted(scanned, indexed, roots).collect()]
+    assert sorted(got) == sorted([f"/r/{i}/a/b.txt" for i in range(n)] + ["/r/4"])
