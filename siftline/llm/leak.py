@@ -1,13 +1,16 @@
 """Evaluation texts leaking into training text (problem 7).
 
-A positional inverted index of the training tokens, kept in segments: each segment lists, per term, the positions at
-which it stands in the stream of the segment's documents (one dead position between two documents). A passage is found
-by taking the rarest term of each of its windows, shifting that term's list by its offset in the passage, and keeping
-the shifted positions that the neighbouring terms' shifted lists hold as well.
+A positional inverted index of all training tokens, kept in segments: each segment lists, per term, the positions at
+which it stands in the stream of the segment's documents (one dead position between two documents). It knows nothing of
+the evaluation texts, so one index serves any number of them. A passage is found by taking the rarest term of each of
+its windows, shifting that term's list by its offset in the passage, and keeping the shifted positions that the
+neighbouring terms' shifted lists hold as well. Which passages a segment can hold is told by joining the rarest terms
+with the segment's terms.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,19 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.words import words
+from siftline.llm.words import WordIds, words
 from siftline.runtime import stage
 
 #: Tokens after which a segment is closed (a longer document is a segment of its own).
 SEGMENT_TOKENS = 1_000_000
-#: Most evaluation words held on the driver.
-MAX_EVAL_WORDS = 20_000_000
-SEGMENT = "terms array<int>, ends array<int>, doc_counts array<int>, postings binary, docs binary, starts binary"
+#: Evaluation words searched for at once; a larger set is searched for in parts.
+EVAL_WORDS = 5_000_000
+SEGMENT = "terms binary, ends binary, doc_counts binary, postings binary, docs binary, starts binary"
 
 
-def _index(vocabulary, segment_tokens: int):
+def _index(segment_tokens: int, compose: bool):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = vocabulary.value
+        known = WordIds()
         stream: list[np.ndarray] = []
         docs: list[int] = []
         starts: list[int] = []
@@ -35,32 +38,31 @@ def _index(vocabulary, segment_tokens: int):
 
         def close() -> pd.DataFrame:
             every = np.concatenate(stream)
-            at = np.flatnonzero(every >= 0).astype(np.int32)
-            by = np.argsort(every[at], kind="stable")
-            postings = at[by]
-            terms, first = np.unique(every[at][by], return_index=True)
-            ends = np.append(first[1:], len(postings))
-            doc_of = np.searchsorted(np.array(starts), postings, side="right")
-            fresh = np.ones(len(postings), dtype=np.int64)
+            terms, of = np.unique(every, return_inverse=True)
+            by = np.argsort(of.astype(np.int32), kind="stable").astype(np.int32)
+            ends = np.cumsum(np.bincount(of, minlength=len(terms)))
+            if len(terms) and terms[0] == 0:  # dead positions
+                by, terms, ends = by[ends[0] :], terms[1:], ends[1:] - ends[0]
+            first = np.append(0, ends[:-1])
+            doc_of = np.searchsorted(np.array(starts), by, side="right")
+            fresh = np.ones(len(by), dtype=np.int64)
             fresh[1:] = doc_of[1:] != doc_of[:-1]
             fresh[first] = 1
-            counts = np.add.reduceat(fresh, first) if len(first) else first
+            counts = np.add.reduceat(fresh, first)
             row = {
-                "terms": terms.astype(np.int32), "ends": ends.astype(np.int32), "doc_counts": counts.astype(np.int32),
-                "postings": postings.tobytes(), "docs": np.array(docs, dtype=np.int64).tobytes(), "starts": np.array(starts, dtype=np.int64).tobytes(),
+                "terms": terms.tobytes(), "ends": ends.astype(np.int32).tobytes(), "doc_counts": counts.astype(np.int32).tobytes(),
+                "postings": by.tobytes(), "docs": np.array(docs, dtype=np.int64).tobytes(), "starts": np.array(starts, dtype=np.int64).tobytes(),
             }
             return pd.DataFrame([row])
 
         for pdf in batches:
             for doc, text in zip(pdf["_key"], pdf["_text"]):
-                if not text:
-                    continue
-                found = [ids.get(w, -1) for w in words(text)]
+                found = passage_words(text, compose)
                 if not found:
                     continue
                 docs.append(doc)
                 starts.append(held)
-                stream.append(np.array([*found, -1], dtype=np.int32))
+                stream.append(np.array([*map(known.__getitem__, found), 0], dtype=np.uint64))
                 held += len(found) + 1
                 if held >= segment_tokens:
                     yield close()
@@ -71,21 +73,46 @@ def _index(vocabulary, segment_tokens: int):
     return build
 
 
-def positional_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """Segments of the positional index of ``docs`` over the terms of ``vocabulary`` (other terms only take up positions).
+def passage_words(text: str, compose: bool = False) -> list[str]:
+    """Words of a text; with ``compose``, letters and their accents are put together first."""
+    return words(text if not compose or text.isascii() else unicodedata.normalize("NFC", text))
+
 
-    ``postings`` holds, term after term as ``terms`` and ``ends`` tell, ascending stream positions (int32); ``docs`` and
-    ``starts`` (int64) place the documents in the stream; ``doc_counts`` is the number of documents of each term.
+def positional_index(docs: DataFrame, key: str, text: str, segment_tokens: int = SEGMENT_TOKENS, compose: bool = False) -> DataFrame:
+    """Segments of the positional index of ``docs`` over all their words.
+
+    ``terms`` holds ascending hashes (uint64); ``postings``, term after term up to ``ends``, ascending stream positions
+    (int32); ``docs`` and ``starts`` (int64) place the documents in the stream; ``doc_counts`` (int32) is the number of
+    documents of each term.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).filter("_key is not null and _text <> ''")
-    return rows.mapInPandas(_index(shared, segment_tokens), SEGMENT)
+    return rows.mapInPandas(_index(segment_tokens, compose), SEGMENT)
+
 
+def _frequencies(shared):
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, total = shared.value, None
+        for pdf in batches:
+            for t, c in zip(pdf["terms"], pdf["doc_counts"]):
+                terms, counts = np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)
+                at = np.searchsorted(terms, wanted)
+                here = np.where(terms[np.minimum(at, len(terms) - 1)] == wanted, counts[np.minimum(at, len(terms) - 1)], 0)
+                total = here.astype(np.int64) if total is None else total + here
+        if total is not None:
+            held = np.flatnonzero(total)
+            yield pd.DataFrame({"i": held, "n": total[held]})
+
+    return frequencies
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    """(term, n): documents of the whole collection that hold each term."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "doc_counts")).alias("p"))
-    return pairs.groupBy("p.terms").agg(F.sum("p.doc_counts").alias("n")).withColumnRenamed("terms", "term")
+
+def document_frequencies(index: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """Documents of the whole collection that hold each of the ``wanted`` term hashes (ascending)."""
+    shared = index.sparkSession.sparkContext.broadcast(wanted)
+    out = np.zeros(len(wanted), dtype=np.int64)
+    counts = index.select("terms", "doc_counts").mapInPandas(_frequencies(shared), "i long, n long")
+    for i, n in counts.groupBy("i").agg(F.sum("n")).collect():  # at most one row per wanted term
+        out[i] = n
+    return out
 
 
 def window_anchors(terms: np.ndarray, df: np.ndarray, run: int) -> list[int]:
@@ -100,18 +127,20 @@ def window_anchors(terms: np.ndarray, df: np.ndarray, run: int) -> list[int]:
 
 
 class _Segment:
-    def __init__(self, row):
-        self.at = {int(t): i for i, t in enumerate(row.terms)}
-        self.ends = np.asarray(row.ends)
+    """A segment seen by the evaluation words, whose numbers are the places of their hashes in ``wanted``."""
+
+    def __init__(self, row, wanted: np.ndarray):
+        terms, ends = np.frombuffer(row.terms, np.uint64), np.frombuffer(row.ends, np.int32)
+        at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+        self.there = terms[at] == wanted
+        self.last = np.where(self.there, ends[at], 0)
+        self.first = np.where(self.there & (at > 0), ends[at - 1], 0)
         self.postings = np.frombuffer(row.postings, np.int32)
         self.docs = np.frombuffer(row.docs, np.int64)
         self.starts = np.frombuffer(row.starts, np.int64)
 
     def list(self, term: int) -> np.ndarray:
-        i = self.at.get(int(term))
-        if i is None:
-            return self.postings[:0]
-        return self.postings[(self.ends[i - 1] if i else 0) : self.ends[i]]
+        return self.postings[self.first[term] : self.last[term]]
 
     def has(self, term: int, positions: np.ndarray) -> np.ndarray:
         mine = self.list(term)
@@ -189,14 +218,26 @@ def _near(mine: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
 
 def _search(shared, run: int, kinds: tuple[str, ...], share: float, slack: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages, df = shared.value
+        wanted, passages, df = shared.value
+        # the rarest terms, each with its passage: joined with the terms of each segment
+        anchor = np.array([terms[o] for _, terms, anchors in passages for o in anchors], dtype=np.int64)
+        of = np.repeat(np.arange(len(passages)), [len(anchors) for _, _, anchors in passages])
+        every = np.concatenate([terms for _, terms, _ in passages])
+        whose = np.repeat(np.arange(len(passages)), [len(terms) for _, terms, _ in passages])
+        lengths = np.bincount(whose, minlength=len(passages))
+        distinct = np.unique(whose * len(wanted) + every)
+        need = np.ceil(share * np.bincount(distinct // len(wanted), minlength=len(passages)))
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                seg, out = _Segment(row), []
-                for item, terms, anchors in passages:
-                    if "phrase" in kinds and anchors:
+                seg, out = _Segment(row, wanted), []
+                if "phrase" in kinds:
+                    for i in np.unique(of[seg.there[anchor]]):
+                        item, terms, anchors = passages[i]
                         out += [(d, item, "phrase", p, n, o) for d, p, n, o in phrase_hits(seg, terms, anchors, df, run)]
-                    if "proximity" in kinds and len(terms) >= run:
+                if "proximity" in kinds:
+                    held = np.bincount(distinct[seg.there[distinct % len(wanted)]] // len(wanted), minlength=len(passages))
+                    for i in np.flatnonzero((held >= need) & (lengths >= run)):
+                        item, terms, _ = passages[i]
                         out += [(d, item, "proximity", p, n, o) for d, p, n, o in proximity_hits(seg, terms, df, share, slack)]
                 if out:
                     yield pd.DataFrame(out, columns=["_key", "_item", "kind", "first_word", "n_words", "passage_word"])
@@ -204,36 +245,54 @@ def _search(shared, run: int, kinds: tuple[str, ...], share: float, slack: float
     return search
 
 
+def find_passages(
+    index: DataFrame, key: str, items: DataFrame, item_key: str, passage: str, run: int = 12, kinds: tuple[str, ...] = ("phrase",),
+    share: float = 0.8, slack: float = 1.5, compose: bool = False, eval_words: int = EVAL_WORDS,
+) -> DataFrame:
+    """What ``leaked_passages`` gives, from the index of the documents; passages of more than ``eval_words`` words are searched for in parts.
+
+    ``compose`` must be what the index was made with.
+    """
+    spark = index.sparkSession
+    kind = items.schema[item_key].dataType.simpleString()
+    schema = f"_key long, _item {kind}, kind string, first_word int, n_words int, passage_word int"
+    hits = spark.createDataFrame([], schema)
+    rows = items.select(item_key, passage).filter(f"`{item_key}` is not null and `{passage}` <> ''")
+    part, held = [], 0
+
+    def searched(part: list) -> DataFrame:
+        ids = WordIds(1 << 62)
+        hashed = [(item, np.array([*map(ids.__getitem__, ws)], dtype=np.uint64)) for item, ws in part]
+        wanted = np.unique(np.concatenate([h for _, h in hashed]))
+        df = document_frequencies(index, wanted)
+        passages = [(item, at := np.searchsorted(wanted, h), window_anchors(at, df, run)) for item, h in hashed]
+        shared = spark.sparkContext.broadcast((wanted, passages, df))
+        return index.mapInPandas(_search(shared, run, tuple(kinds), share, slack), schema)
+
+    for r in rows.toLocalIterator():
+        ws = passage_words(r[1], compose)
+        if len(ws) >= run:
+            if part and held + len(ws) > eval_words:
+                hits = hits.unionByName(searched(part))
+                part, held = [], 0
+            part.append((r[0], ws))
+            held += len(ws)
+    if part:
+        hits = hits.unionByName(searched(part))
+    return hits.withColumnRenamed("_key", key).withColumnRenamed("_item", item_key)
+
+
 def leaked_passages(
     docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, run: int = 12,
-    kinds: tuple[str, ...] = ("phrase",), share: float = 0.8, slack: float = 1.5,
+    kinds: tuple[str, ...] = ("phrase",), share: float = 0.8, slack: float = 1.5, compose: bool = False,
 ) -> DataFrame:
     """(key, item_key, kind, first_word, n_words, passage_word): where documents hold passages.
 
     ``phrase``: a stretch of at least ``run`` consecutive passage words, at full length; ``proximity``: a window of at most
     ``slack`` times the passage's length with ``share`` of its distinct words in any order (the best window of a document).
     Words are counted from 0. Null or empty texts and passages, those with fewer than ``run`` words, and null keys match
-    nothing; repeated rows match each; empty tables give no rows; other columns are ignored. The passages are a fixed test
-    set: more than MAX_EVAL_WORDS words of them raise an error. Documents are never collected, and their number is free.
+    nothing; repeated rows match each; empty tables give no rows; other columns are ignored. With ``compose``, composed and
+    decomposed accents are the same. Neither documents nor passages are bounded in number.
     """
-    spark = docs.sparkSession
-    size = items.agg(F.sum(F.length(passage))).head()[0] or 0
-    if size > 8 * MAX_EVAL_WORDS:
-        raise ValueError("the evaluation set is too large for the driver")
-    found = [(r[0], words(r[1])) for r in items.select(item_key, passage).collect() if r[0] is not None and r[1]]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in found for w in ws}))}
-    index = stage(positional_index(docs, key, text, vocabulary), "token-index")
-    df = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for t, n in document_frequencies(index).collect():  # at most one row per evaluation word
-        df[t] = n
-    passages = []
-    for item, ws in found:
-        terms = np.array([vocabulary[w] for w in ws], dtype=np.int64)
-        passages.append((item, terms, window_anchors(terms, df, run)))
-    shared = spark.sparkContext.broadcast((passages, df))
-    kind = items.schema[item_key].dataType.simpleString()
-    hits = index.mapInPandas(
-        _search(shared, run, tuple(kinds), share, slack),
-        f"_key long, _item {kind}, kind string, first_word int, n_words int, passage_word int",
-    )
-    return hits.withColumnRenamed("_key", key).withColumnRenamed("_item", item_key)
+    index = stage(positional_index(docs, key, text, compose=compose), "token-index")
+    return find_passages(index, key, items, item_key, passage, run, kinds, share, slack, compose)

@@ -1,8 +1,8 @@
 """Filling fixed-capacity token containers with texts (problem 6).
 
 Cost-balanced packing: a text of n tokens costs ``linear * n + quadratic * n**2`` (projections and attention). Texts go,
-longest first, to the cheapest sequence that still has room; a sequence that a text would close almost exactly is
-preferred, so that little room is left over.
+longest first, to the cheapest sequence that still has room. With ``snug``, a sequence that a text would close but for so
+many tokens is preferred, so that less room is left over; 0 is the plain method.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ TOKEN_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 ITEMS_PER_SHARD = 20_000
 #: Attention against projections for a model width of 768: 4 n^2 d against 24 n d^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / (6 * 768)
+#: Tokens that a sequence closed by a text may lack to be preferred.
+SNUG = 4
 
 
 def token_pattern() -> Column:
@@ -29,11 +31,6 @@ def with_tokens(df: DataFrame, text: str, name: str = "n_tokens") -> DataFrame:
     return df.withColumn(name, F.coalesce(F.regexp_count(F.col(text), token_pattern()), F.lit(0)))
 
 
-def oversized_documents(docs: DataFrame, key: str, text: str, capacity: int = 1024) -> DataFrame:
-    """Keys of the texts that no container holds whole and that alone may be cut."""
-    return items(docs, key, text, capacity).filter("piece_no = 0 and total > %d" % capacity).select(key)
-
-
 def items(docs: DataFrame, key: str, text: str, capacity: int = 1024) -> DataFrame:
     """(key, piece_no, start, n_chars, n_tokens, total): whole texts, and texts above ``capacity`` cut into full pieces and a rest.
 
@@ -57,8 +54,8 @@ def items(docs: DataFrame, key: str, text: str, capacity: int = 1024) -> DataFra
     )
 
 
-def balance(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC, snug: int = 4) -> np.ndarray:
-    """Sequence of each item (sizes in descending order): cheapest with room, snug ones first; a new one where none has room."""
+def balance(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC, snug: int = SNUG) -> np.ndarray:
+    """Sequence of each item (sizes in descending order): cheapest with room, snug ones first (none if ``snug`` is 0); a new one where none has room."""
     seq = np.empty(len(sizes), dtype=np.int64)
     n = max(1, -(-int(sizes.sum()) // capacity))
     room = np.full(2 * n + 16, -1, dtype=np.int64)
@@ -73,7 +70,7 @@ def balance(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic:
             room[n] = capacity
             at, n = n, n + 1
         else:
-            close = fits[left[fits] <= snug]
+            close = fits[left[fits] <= snug] if snug else fits[:0]
             fits = close if len(close) else fits
             at = fits[np.argmin(cost[fits])]
         seq[i] = at
@@ -82,14 +79,14 @@ def balance(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic:
     return seq
 
 
-def _pack_shard(capacity: int, linear: float, quadratic: float):
+def _pack_shard(capacity: int, linear: float, quadratic: float, snug: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "_key", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         full = pdf["n_tokens"].to_numpy() == capacity
         seq = np.empty(len(pdf), dtype=np.int64)
         seq[full] = np.arange(full.sum())
         if (~full).any():
-            seq[~full] = balance(pdf["n_tokens"].to_numpy()[~full].astype(np.int64), capacity, linear, quadratic) + full.sum()
+            seq[~full] = balance(pdf["n_tokens"].to_numpy()[~full].astype(np.int64), capacity, linear, quadratic, snug) + full.sum()
         pdf["seq"] = np.unique(seq, return_inverse=True)[1]
         return pdf[["_shard", "seq", "_key", "piece_no", "start", "n_chars", "n_tokens"]]
 
@@ -98,7 +95,7 @@ def _pack_shard(capacity: int, linear: float, quadratic: float):
 
 def pack_documents(
     docs: DataFrame, key: str, text: str, capacity: int = 1024, linear: float = LINEAR, quadratic: float = QUADRATIC,
-    items_per_shard: int = ITEMS_PER_SHARD,
+    items_per_shard: int = ITEMS_PER_SHARD, snug: int = SNUG,
 ) -> DataFrame:
     """(container, key, piece_no, start, n_chars, n_tokens): every item in one container, none above ``capacity`` tokens.
 
@@ -113,8 +110,13 @@ def pack_documents(
     kind = docs.schema[key].dataType.simpleString()
     found = found.withColumn("_shard", F.pmod(F.xxhash64("_key", "piece_no"), F.lit(shards)).cast("int"))
     packed = found.groupBy("_shard").applyInPandas(
-        _pack_shard(capacity, linear, quadratic), f"_shard int, seq long, _key {kind}, piece_no int, start int, n_chars int, n_tokens int"
+        _pack_shard(capacity, linear, quadratic, snug), f"_shard int, seq long, _key {kind}, piece_no int, start int, n_chars int, n_tokens int"
     )
     return packed.select(
         F.concat_ws(":", "_shard", "seq").alias("container"), F.col("_key").alias(key), "piece_no", "start", "n_chars", "n_tokens"
     )
+
+
+def oversized_documents(docs: DataFrame, key: str, text: str, capacity: int = 1024) -> DataFrame:
+    """Keys of the texts that the packer had to cut, as no container holds them whole (one row per row of ``docs``)."""
+    return pack_documents(docs, key, text, capacity).filter("piece_no = 1").select(key)

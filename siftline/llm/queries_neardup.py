@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm.neardup import grouped_texts, similar_names, similar_texts
+from siftline.llm.neardup import grouped_names, grouped_texts, similar_names, similar_texts
 from siftline.runtime import read
 
 
@@ -19,8 +19,13 @@ def p5_classes(spark, sf_dir):
     return grouped_texts(read(spark, sf_dir, "content_index"), "content_id", "content")
 
 
+def p5_name_classes(spark, sf_dir):
+    """Rows of files by the sets of their names: class of equal sets, names in it and similar classes."""
+    return grouped_names(read(spark, sf_dir, "files").filter("not is_dir"), "id", "filename")
+
+
 _SET = """list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')))"""
-QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes}
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p5_name_classes": p5_name_classes}
 ORACLE = {
     "p5_found": f"""
 WITH c AS (SELECT content_id AS id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM content_index),

@@ -79,6 +79,13 @@ def test_pack(spark):
     assert pack.pack_documents(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_plain_method_and_cut_texts(spark):
+    sizes = np.sort(np.random.default_rng(2).integers(1, 1024, 400))[::-1]
+    assert np.bincount(pack.balance(sizes, 1024, snug=0), weights=sizes).max() <= 1024
+    docs = spark.createDataFrame([(1, "word " * 40), (1, "word " * 40), (2, "a b"), (3, None), (4, " word" * 16)], "doc_id long, text string")
+    assert sorted(r[0] for r in pack.oversized_documents(docs, "doc_id", "text", 16).collect()) == [1, 1]
+
+
 # vectors
 
 
@@ -178,9 +185,32 @@ def test_split_lists_lose_no_pair():
     assert len(set(pairs)) == len(pairs) == 60 * 59 // 2
 
 
+def test_rows_of_hot_names_are_paired_in_blocks(spark):
+    rows = [(i, "budget report 2021.pdf") for i in range(60)] + [(i, "budget report 2022.pdf") for i in range(60, 110)] + [(200, "else.txt")]
+    df = spark.createDataFrame(rows, "id long, filename string")
+    got = [tuple(r) for r in neardup.similar_names(df, "id", "filename", 0.7, block=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(60) for b in range(60, 110)}
+    classes = {r["id"]: (r["class_id"], r["copies"], r["links"]) for r in neardup.grouped_names(df, "id", "filename", 0.7).collect()}
+    assert classes == {i: (0 if i < 60 else 60 if i < 200 else 200, 1, 1 if i < 200 else 0) for i in classes} and len(classes) == 111
+
+
 # leaks
 
 
+def test_one_index_serves_several_evaluation_sets(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    docs = spark.createDataFrame(list(enumerate([*texts, "cafe\u0301 " + texts[0]])), "doc_id long, text string")
+    index = leak.positional_index(docs, "doc_id", "text", segment_tokens=40).persist()
+    schema = "item_id long, passage string"
+    found = lambda rows, **o: {tuple(r)[:2] for r in leak.find_passages(index, "doc_id", spark.createDataFrame(rows, schema), "item_id", "passage", **o).collect()}
+    assert found([(7, texts[0])]) == {(0, 7), (3, 7)} and found([(8, texts[1][4:])]) == {(1, 8)}
+    several = [(i, t) for i, t in enumerate(texts)]
+    assert found(several, eval_words=35) == found(several) == {(0, 0), (3, 0), (1, 1), (2, 2)}
+    passage = spark.createDataFrame([(1, "caf\xe9 " + " ".join(f"a{i}" for i in range(11)))], schema)
+    count = lambda **o: leak.leaked_passages(docs, "doc_id", "text", passage, "item_id", "passage", **o).count()
+    assert count() == 0 and count(compose=True) == 1
+
+
 def test_leaks(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     docs = [
@@ -216,6 +246,31 @@ def test_held_out_examples(spark, sf):
     assert np.mean([got.get(k, set()) == v for k, v in want.items()]) >= 0.85
 
 
+def _subjects(spark, rounds, **options):
+    """Documents of two subjects; each shares words with the seeds or only with other documents of its subject."""
+    rng = np.random.default_rng(9)
+    vocabulary = {s: [f"{s}{i:02d}x" for i in range(40)] for s in ("law", "sea")}
+    plain = [f"plain{i:02d}" for i in range(60)]
+
+    def text(words):
+        return " ".join(" ".join([*rng.choice(words, 6), *rng.choice(plain, 4)]) + "." for _ in range(8))
+
+    docs = [(i, text(vocabulary["law" if i % 2 else "sea"][(0 if i < 200 else 16) : (24 if i < 200 else 40)])) for i in range(400)] + [(1000 + i, text(plain)) for i in range(40)]
+    seeds = [(i, text(vocabulary[s][:16]), [s]) for i, s in enumerate(["law", "sea"] * 12)] + [(100 + i, text(plain), []) for i in range(6)]
+    d = spark.createDataFrame([*docs, (5000, None), (5001, ""), (5002, "  ")], "doc_id long, text string")
+    e = spark.createDataFrame(seeds, "example_id long, text string, subjects array<string>")
+    return {(r["doc_id"], r["subject"]) for r in subjects.document_subjects(d, "doc_id", "text", e, rounds=rounds, **options).collect()}
+
+
+def test_propagation_decides(spark):
+    want = {(i, "law" if i % 2 else "sea") for i in range(400)}
+    got = _subjects(spark, 3)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 8
+    assert len(_subjects(spark, 1) & want) < len(got & want)
+    assert not _subjects(spark, 0)
+    assert _subjects(spark, 3, max_broadcast=0) == got
+
+
 def test_no_seeds(spark):
     docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
     examples = spark.createDataFrame([], "example_id long, text string, subjects array<string>")
