@@ -282,7 +282,7 @@ def test_no_seeds(spark):
 
 def lexicon():
     words = {w: (1000, 0, 100) for w in "the house is below water and modern day outline well-known known in depth in-depth report continues here again".split()}
-    return ocr.Lexicon(words, 100, {})
+    return ocr.Lexicon(words, 100, dict.fromkeys(words, np.ones(2, dtype=np.float32) / np.float32(2**0.5)))
 
 
 def test_page_numbers():
@@ -299,6 +299,45 @@ def test_read_block():
     assert clean[0, 2][0] == "the house is below the modern out-"
 
 
+def test_vectors_link_and_choose():
+    """Of two words equally near in glyphs the context chooses, it corrects words that exist, and without vectors nothing is linked."""
+    words = {"butter": (300, 0, 90), "buffer": (310, 0, 90), "melt": (400, 0, 90), "pan": (400, 0, 90), "thread": (400, 0, 90), "cache": (400, 0, 90)}
+    kitchen, machine = np.array([1, 0], dtype=np.float32), np.array([0, 1], dtype=np.float32)
+    vectors = {w: kitchen if w in ("butter", "melt", "pan") else machine for w in words}
+    lines = {"melt the bufter pan": "melt the butter pan", "thread cache bufter thread": "thread cache buffer thread", "cache thread butter cache thread": "cache thread buffer cache thread", "melt butter pan": "melt butter pan"}
+    for line, fixed in lines.items():
+        read = lambda v, line=line: ocr.read_block([ocr._Page(1, 1, f"{line} and\nso it goes on here.", True)], ocr.Lexicon(words, 100, v))
+        marks, clean = read(vectors)
+        assert clean[0, 0][0] == fixed + " and" and ((0, 0) in marks) == (line != fixed)
+        assert read({})[1][0, 0][0] == line + " and"
+
+
+def test_roots_hold_all_edits():
+    for seen, true in ocr.GLYPHS:
+        assert ocr.root(seen) == ocr.root(true)
+    assert ocr.root("in-" + "depth") == ocr.root("in-") + ocr.root("depth")
+
+
+SCANS = "ocr_id long, path string, page_no int, text string, confidence double, error string"
+
+
+def test_joined_lexicon_reads_alike(spark, sf, monkeypatch):
+    monkeypatch.setattr(ocr, "learn_vectors", lambda pages, counts: {r[0]: np.ones(2, dtype=np.float32) / np.float32(2**0.5) for r in counts.select("word").collect()})
+    pages = spark.read.parquet(f"{sf}/ocr_results.parquet")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    marks = rows(ocr.line_marks(pages))
+    assert {k for _, _, k in marks} == {"running", "page_number", "hyphen", "misread"}
+    assert rows(ocr.line_marks(pages, max_words=0)) == marks
+
+
+def test_headers_that_recur_far_apart(spark):
+    n = ocr.BLOCK_PAGES
+    body = "the modern house is below the water and the day"
+    rows = [(i, "/a", i, f"{'Annual Report' if i in (5, 3 * n + 5) else 'about the house'}\n{body}\n{i + 7}", 0.9, None) for i in (5, n + 9, 2 * n + 20, 3 * n + 5)]
+    got = {tuple(r) for r in ocr.line_marks(spark.createDataFrame(rows, SCANS)).collect()}
+    assert {(5, 1, "running"), (3 * n + 5, 1, "running")} <= got and {(i, 3, "page_number") for i in (5, n + 9, 2 * n + 20, 3 * n + 5)} <= got
+
+
 def test_line_marks_edge_cases(spark):
     schema = "ocr_id long, path string, page_no int, text string, confidence double, exif struct<date_taken:string,gps:string>, error string, block int"
     text = "Title Of It\nthe text goes on here\n1"
