@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftline.functions import constants as K
 
@@ -123,28 +121,20 @@ def snippet(x: Column, query: str, most: int = 200) -> Column:
     return F.when(pos > 0, F.when(F.octet_length(hit) > most, F.concat(dots, truncate(hit, most), dots)).otherwise(hit)).when(x != "", F.when(F.octet_length(line) > most, F.concat(truncate(line, most), dots)).otherwise(line))
 
 
-@F.pandas_udf(T.StringType())
-def strip_md(texts: pd.Series) -> pd.Series:
+# fixed values: what a fenced block is, which lines are rules or table rows, and the marks before a list item
+MD_FENCED = r"(?m)^[ \t]*```[^\n]*\n?(?s:.*?)(?:^[ \t]*```[^\n]*$|\z)"
+MD_DROPPED = r"^(\|--|\| --|---|===)|^\|(.*\|)?$"
+MD_MARKS = r"^(- )*(\* )*(\+ )*"
+
+
+def strip_md(x: Column) -> Column:
     """Text of markdown: no fences, rules, tables, heading, emphasis, code, link and list marks; lines joined by a space."""
-    import re
-
-    def plain(text):
-        if text is None:
-            return None
-        out, fenced = [], False
-        for line in text.splitlines():
-            line = line.strip()
-            if line.startswith("```"):
-                fenced = not fenced
-            elif not fenced and not line.startswith(("|--", "| --", "---", "===")) and not (line[:1] == "|" == line[-1:]):
-                line = line.lstrip("#").strip().replace("**", "").replace("__", "")
-                line = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", re.sub(r"`[^`]*(?:`|\Z)", "", line))
-                line = re.sub(r"\A(?:- )*(?:\* )*(?:\+ )*", "", line)
-                if line:
-                    out.append(line)
-        return " ".join(out)
-
-    return texts.map(plain)
+    ends = r"^\s+|\s+$"
+    lines = F.transform(F.split(F.regexp_replace(x, MD_FENCED, ""), r"\r?\n"), lambda s: F.regexp_replace(s, ends, ""))
+    text = F.filter(lines, lambda s: ~s.rlike(MD_DROPPED))
+    heads = F.transform(text, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "^#+", ""), ends, ""), r"\*\*|__", ""))
+    plain = F.transform(heads, lambda s: F.regexp_replace(strip_links(strip_code(s)), MD_MARKS, ""))
+    return F.array_join(F.filter(plain, lambda s: s != ""), " ")
 
 
 def embed_text(name: Column, text: Column, ext: Column) -> Column:

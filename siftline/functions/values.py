@@ -81,3 +81,19 @@ def human_size(n: Column) -> Column:
     for k, unit in ((1, "KB"), (2, "MB")):
         out = out.when(n < 1024 ** (k + 1), F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}")))
     return out.otherwise(F.concat(F.format_string("%.1f", n / float(1024**3)), F.lit(" GB")))
+
+
+def embed_hash(text: Column) -> Column:
+    """The hash that an embedded text is known by."""
+    return fnv1a(text)
+
+
+def file_type(extension: Column, is_dir: Column) -> Column:
+    """What a result is shown as: folder, its extension, or file."""
+    return F.when(is_dir, "folder").otherwise(F.coalesce(extension, F.lit("file")))
+
+
+def exif_date(value: Column) -> Column:
+    """An image's date as ISO 8601, from either of the two forms that cameras write; what is neither stays as it is."""
+    forms = [F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss")]
+    return F.coalesce(F.date_format(F.coalesce(*forms), "yyyy-MM-dd'T'HH:mm:ss"), value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,47 @@ from pyspark.sql import types as T
 from siftline.functions import constants as K
 from siftline.functions.scoring import bm25_term
 from siftline.functions.text import tokens, truncate
-from siftline.runtime import stage
+from siftline.runtime import bounded_broadcast, stage
 
 FIELDS = ["content", "filename"]
+#: Folders that postings are laid out in, by a hash of the term.
+BUCKETS = 64
+
+
+@dataclass
+class TextIndex:
+    """Postings (bucket, term, field, path, extension, tf, dl) laid out by bucket, and (field, n, avgdl) of all documents."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms; only their buckets are read."""
+        wanted = [F.lit(t) for t in terms]
+        buckets = [r[0] for r in self.postings.sparkSession.range(1).select(F.explode(F.array(*map(_bucket, wanted)))).distinct().collect()]
+        return self.postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def full_postings(docs: DataFrame) -> DataFrame:
+    """The postings of a TextIndex; null texts are empty."""
+    rows = docs.select("path", "extension", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in FIELDS])).alias("x"))
+    rows = rows.select("path", "extension", "x.field", F.size("x.terms").cast("long").alias("dl"), F.explode("x.terms").alias("term"))
+    counted = rows.groupBy("term", "field", "path").agg(F.count("*").alias("tf"), F.first("extension").alias("extension"), F.first("dl").alias("dl"))
+    return counted.select("term", "field", "path", "extension", "tf", "dl", _bucket(F.col("term")).alias("bucket"))
+
+
+def field_stats(lengths: DataFrame) -> DataFrame:
+    """(field, n, avgdl) of (path, field, dl)."""
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def build_index(docs: DataFrame) -> TextIndex:
+    """A TextIndex in the shared folder."""
+    return TextIndex(stage(full_postings(docs), "postings", by=("bucket", "term")), stage(field_stats(doc_lengths(docs)), "field-stats"))
 
 
 def extractable(files: DataFrame) -> DataFrame:
@@ -24,6 +64,11 @@ def extract_text(content):
     return truncate(content, K.TEXT_BYTES)
 
 
+def index_text(content):
+    """The first bytes of a text, as far as they are indexed."""
+    return truncate(content, K.INDEX_BYTES)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(term, field, path, tf) of the fields of (path, filename, content); one shuffle, counted before it."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in FIELDS])).alias("x")
@@ -57,15 +102,28 @@ def matching(docs: DataFrame, terms: list[str]) -> DataFrame:
     return rows.select("path", "extension", "field", F.greatest(F.size("terms"), F.lit(0)).alias("dl"), counted.alias("tfs"))
 
 
-def bm25(docs: DataFrame, query: str) -> DataFrame:
+def index_bm25(index: TextIndex, terms: list[str]) -> DataFrame:
+    """(path, extension, score) of the documents that hold one of the terms, from the postings of these terms alone."""
+    hits = index.of(terms)
+    dfs = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    near = F.broadcast(dfs.join(F.broadcast(index.stats), "field"))  # a row per field and term of the query
+    scored = hits.join(near, ["field", "term"])
+    part = bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
+    return scored.groupBy("path").agg(F.first("extension").alias("extension"), F.round(F.sum(part), 9).alias("score"))
+
+
+def bm25(docs: DataFrame | TextIndex, query: str) -> DataFrame:
     """(path, extension, score) of the documents with a query term in any field; exact lengths, statistics over all documents.
 
-    The texts are passed once, leaving a few numbers a document in a staged table. Null texts are empty; a query without a
+    An index answers from the postings of the query's terms. Of a table of documents, the texts are passed once, leaving a few numbers a document in a staged table. Null texts are empty; a query without a
     word matches nothing.
     """
     terms = query_terms(query)
+    indexed = isinstance(docs, TextIndex)
     if not terms:
-        return docs.sparkSession.createDataFrame([], "path string, extension string, score double")
+        return (docs.stats if indexed else docs).sparkSession.createDataFrame([], "path string, extension string, score double")
+    if indexed:
+        return index_bm25(docs, terms)
     rows = stage(matching(docs, terms), "term-counts")
     dfs = F.array(*[F.sum(F.when(F.col("tfs")[i] > 0, 1).otherwise(0)) for i in range(len(terms))])
     stats = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("dfs"))
@@ -76,14 +134,14 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     return hits.groupBy("path").agg(F.first("extension").alias("extension"), F.round(F.sum(part), 9).alias("score"))
 
 
-def content_search(docs: DataFrame, query: str, limit: int, extension: str | None = None, fuzzy: bool = False) -> DataFrame:
+def content_search(docs: DataFrame | TextIndex, query: str, limit: int, extension: str | None = None, fuzzy: bool = False) -> DataFrame:
     """(path, extension, score): 4 x limit best, those below a fifth of the best dropped, then the type filter, then 2 x limit.
 
     With ``fuzzy``, fewer than three hits are filled up by documents with a word close to the whole query, at half score.
     """
     hits = bm25(docs, query)
     if fuzzy and hits.limit(3).count() < 3:
-        close = fuzzy_hits(docs, query).join(docs.select("path", "extension"), "path").select("path", "extension", "score")
+        close = fuzzy_hits(docs, query)
         hits = hits.unionByName(close.join(hits, "path", "left_anti"))
     top = hits.orderBy(F.desc("score"), "path").limit(4 * limit)
     kept = top.withColumn("best", F.max("score").over(Window.partitionBy(F.lit(1)))).filter("score >= 0.2 * best").drop("best")  # 4 x limit rows
@@ -115,25 +173,22 @@ def _osa(a: str, b: str) -> int:
     return one[-1]
 
 
-def close_terms(docs: DataFrame, query: str) -> DataFrame:
-    """(term, distance) of the distinct terms within 1 (query of 6 bytes at most) or 2 edits of the whole query."""
+def close_terms(terms: DataFrame, query: str) -> DataFrame:
+    """(term, distance) of the distinct (term) within 1 (query of 6 bytes at most) or 2 edits of the whole query."""
     q = query.lower()
     most = 1 if len(q.encode()) <= 6 else 2
-    terms = docs.select(F.explode(F.array_distinct(F.concat(tokens(F.coalesce("content", F.lit(""))), tokens(F.col("filename"))))).alias("term")).distinct()
-    near = terms.filter(F.abs(F.length("term") - len(q)) <= most)
+    near = terms.filter(F.abs(F.length("term") - len(q)) <= most).select("term").distinct()
     return near.withColumn("distance", osa_distance(q)(F.col("term"))).filter(F.col("distance") <= most)
 
 
-def fuzzy_hits(docs: DataFrame, query: str) -> DataFrame:
-    """(path, score): documents with a term close to the query, at half their BM25 score for those terms."""
-    posts = postings(docs)
-    lengths = doc_lengths(docs)
-    sizes = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = posts.join(close_terms(docs, query).select("term"), "term", "left_semi")
+def fuzzy_hits(docs: DataFrame | TextIndex, query: str) -> DataFrame:
+    """(path, extension, score): documents with a term close to the query, at half their BM25 score for those terms."""
+    index = docs if isinstance(docs, TextIndex) else TextIndex(full_postings(docs), field_stats(doc_lengths(docs)))
+    hits = index.postings.join(bounded_broadcast(close_terms(index.postings, query).select("term"), 100_000), "term", "left_semi")
     dfs = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = hits.join(dfs, ["field", "term"]).join(lengths, ["path", "field"]).join(F.broadcast(sizes), "field")
+    scored = hits.join(dfs, ["field", "term"]).join(F.broadcast(index.stats), "field")  # one row a field
     part = bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return scored.groupBy("path").agg(F.round(F.sum(part) * 0.5, 9).alias("score"))
+    return scored.groupBy("path").agg(F.first("extension").alias("extension"), F.round(F.sum(part) * 0.5, 9).alias("score"))
 
 
 def index_delete(posts: DataFrame, paths: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +58,14 @@ def score(query: str, name: str) -> int:
     return total
 
 
+def may_match(name: Column, query: str) -> Column:
+    """False for names that cannot hold the query's characters in order; what is not ASCII is left to the score."""
+    apart = lambda atom: "(?s)" + ".*".join("\\Q" + c + "\\E" if c != "\\" else r"\\" for c in atom)
+    low = F.lower(name)
+    held = reduce(and_, (low.rlike(apart(a)) for a in _plain(query).split()), F.lit(True))
+    return held | ~name.rlike(r"\A\p{ASCII}*\z")
+
+
 def fuzzy_score(query: str):
     @F.pandas_udf(T.IntegerType())
     def scores(names: pd.Series) -> pd.Series:

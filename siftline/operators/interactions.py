@@ -15,6 +15,13 @@ def interaction_data(interactions: DataFrame, now: int) -> DataFrame:
     return sums.withColumn("boost", interaction_boost(F.col("weight")))
 
 
-def for_candidates(interactions: DataFrame, candidates: DataFrame, now: int) -> DataFrame:
-    """The same for the candidates' paths only, kept before they are summed."""
-    return interaction_data(interactions.join(candidates.select("path").distinct(), "path", "left_semi"), now)
+def for_candidates(interactions: DataFrame, candidates: DataFrame, now: int, most: int = 1_000_000) -> DataFrame:
+    """The same for the candidates' paths only.
+
+    Up to ``most`` candidates are broadcast, so that events of others go before the shuffle; beyond, all events are summed
+    first. Either way a hot path is summed in parts before it is shuffled.
+    """
+    paths = candidates.select("path").distinct()
+    if paths.limit(most + 1).count() <= most:
+        return interaction_data(interactions.join(F.broadcast(paths), "path", "left_semi"), now)
+    return interaction_data(interactions, now).join(paths, "path", "left_semi")

@@ -12,10 +12,13 @@ from siftline.functions.parse import DIRECTORY, parse_query
 from siftline.functions.paths import extension_of, filename_of, under
 from siftline.functions.scoring import content_score, recency, semantic_score, tier_bucket, type_bonus
 from siftline.functions.text import filename_tier, snippet, typo_match
-from siftline.operators.fulltext import content_search
-from siftline.operators.fuzzy import fuzzy_score
+from siftline.operators.fulltext import TextIndex, content_search
+from siftline.operators.fuzzy import fuzzy_score, may_match
 from siftline.operators.interactions import for_candidates
-from siftline.runtime import stage
+from siftline.runtime import bounded_broadcast, stage
+
+#: Content and semantic matches that are broadcast; more are joined by a shuffle.
+MAX_MATCHES = 100_000
 
 
 @dataclass
@@ -28,9 +31,9 @@ class Options:
     fuzzy: bool = True
 
 
-def _eligible(files: DataFrame, kind: str | None, prefixes: list[str]) -> DataFrame:
-    out = files.filter(under(F.col("path"), prefixes)) if prefixes else files
-    return out if kind is None else out.filter("is_dir") if kind == DIRECTORY else out.filter(F.col("extension") == kind)
+def _eligible(kind: str | None, prefixes: list[str]) -> Column:
+    inside = under(F.col("path"), prefixes)
+    return inside if kind is None else inside & F.col("is_dir") if kind == DIRECTORY else inside & (F.col("extension") == kind)
 
 
 def _bonus(now: int) -> Column:
@@ -54,33 +57,40 @@ def typo_hits(files: DataFrame, text: str, now: int) -> DataFrame:
     return files.filter(typo_match(F.col("filename"), text)).select("path", (K.TYPO + _bonus(now)).alias("score"))
 
 
-def name_candidates(files: DataFrame, text: str, now: int, fuzzy: bool) -> DataFrame:
-    """(path, score, size): name hits, a typo hit taking the place of a lower score below the content tier. One pass over the files."""
-    norm = [filename_tier(F.col("filename"), text) if text else F.lit(None).cast("double"), typo_match(F.col("filename"), text)]
-    tier, nudge = norm[0], F.lit(0.0)
-    rows = files
+def name_score(text: str, now: int, fuzzy: bool) -> Column:
+    """Score of a file for its name, a typo hit taking the place of a lower score below the content tier; null without a hit."""
+    tier = filename_tier(F.col("filename"), text) if text else F.lit(None).cast("double")
+    typo, nudge = typo_match(F.col("filename"), text), F.lit(0.0)
     if fuzzy and text:
-        rows = rows.withColumn("fuzzy", fuzzy_score(text)(F.col("filename")))
-        passed = F.col("fuzzy") >= 12 * len(text.encode())
-        tier, nudge = F.when(passed, F.coalesce(norm[0], F.lit(K.FUZZY))), F.col("fuzzy") / 100.0
-    rows = rows.select("path", "size_bytes", "is_dir", (tier + nudge + _bonus(now)).alias("named"), F.when(norm[1], K.TYPO + _bonus(now)).alias("typo"))
-    better = F.col("typo").isNotNull() & (F.col("named").isNull() | ((F.col("named") < K.CONTENT) & (F.col("typo") > F.col("named"))))
-    return rows.select("path", F.when(better, F.col("typo")).otherwise(F.col("named")).alias("name_score")).filter("name_score is not null")
+        found = fuzzy_score(text)(F.when(may_match(F.col("filename"), text), F.col("filename")))
+        tier, nudge = F.when(found >= 12 * len(text.encode()), F.coalesce(tier, F.lit(K.FUZZY))), found / 100.0
+    named, typo = tier + nudge + _bonus(now), F.when(typo, K.TYPO + _bonus(now))
+    better = typo.isNotNull() & (named.isNull() | ((named < K.CONTENT) & (typo > named)))
+    return F.when(better, typo).otherwise(named)
 
 
-def merge(files: DataFrame, names: DataFrame, content: DataFrame | None, semantic: DataFrame | None, now: int) -> DataFrame:
-    """(path, score, named): the passes merged by path. Later passes add to a candidate, or make one of files known or not.
+def merge(files: DataFrame, pool: Column | None, text: str, content: DataFrame | None, semantic: DataFrame | None, now: int, fuzzy: bool = False) -> DataFrame:
+    """The passes merged by path in one pass over the files: names (where ``pool`` holds), (path, bm25) and (path, similarity).
 
-    Content- and semantic-only candidates take only the time from the files table; their size stays unknown.
+    Content and semantic matches come limited, so they are broadcast if few. Those of no known file take what their path
+    tells; their size stays unknown, as does that of all that no name brought in.
     """
-    out = names
+    extra = None
     for other, value in ((content, "bm25"), (semantic, "similarity")):
-        if other is None:
-            out = out.withColumn(value, F.lit(None).cast("double"))
-        else:
-            out = out.join(other, "path", "full_outer")
-    known = files.select("path", "modified_ts", "extension", "size_bytes", "is_dir", "filename")
-    out = out.join(known, "path", "left").withColumn("modified_ts", F.coalesce("modified_ts", F.lit(0)))
+        if other is not None:
+            part = other.select("path", *[F.col(v) if v == value else F.lit(None).cast("double").alias(v) for v in ("bm25", "similarity")])
+            extra = part if extra is None else extra.unionByName(part)
+    score = name_score(text, now, fuzzy)
+    score = score if pool is None else F.when(pool, score)
+    rows = files.withColumn("name_score", score)
+    if extra is None:
+        out = rows.filter("name_score is not null").withColumn("bm25", F.lit(None).cast("double")).withColumn("similarity", F.lit(None).cast("double"))
+    else:
+        extra = stage(extra.groupBy("path").agg(F.max("bm25").alias("bm25"), F.max("similarity").alias("similarity"), F.lit(True).alias("matched")), "matches")
+        out = rows.join(bounded_broadcast(extra, MAX_MATCHES), "path", "left").filter("name_score is not null or matched")
+        known = extra.join(bounded_broadcast(files.select("path").join(bounded_broadcast(extra.select("path"), MAX_MATCHES), "path", "left_semi"), MAX_MATCHES), "path", "left_anti")
+        out = out.unionByName(known, allowMissingColumns=True)
+    out = out.withColumn("modified_ts", F.coalesce("modified_ts", F.lit(0)))
     unknown = F.col("is_dir").isNull()
     out = out.withColumn("extension", F.when(unknown, extension_of(F.col("path"))).otherwise(F.col("extension"))).withColumn("filename", F.when(unknown, filename_of(F.col("path"))).otherwise(F.col("filename")))
     of_content = F.when(F.col("bm25").isNotNull(), content_score(F.col("bm25"), F.col("modified_ts"), F.col("extension"), now))
@@ -106,7 +116,7 @@ def ranked(merged: DataFrame, interactions: DataFrame | None, now: int, limit: i
     return merged.orderBy(F.desc("bucket"), F.desc("modified_ts"), "path").limit(max(1, limit))
 
 
-def unified_search(files: DataFrame, docs: DataFrame, query: str, options: Options, interactions: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+def unified_search(files: DataFrame, docs: DataFrame | TextIndex, query: str, options: Options, interactions: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """One ranked list for a query over names, contents, given (path, similarity) matches and use.
 
     Columns: path, filename, score, match_type, size_bytes, modified_ts, extension, is_dir, interactions, bucket. A directory
@@ -114,8 +124,6 @@ def unified_search(files: DataFrame, docs: DataFrame, query: str, options: Optio
     empty tables give no rows.
     """
     text, kind, _ = (query, options.type, None) if options.type else parse_query(query)
-    pool = _eligible(files, kind, options.prefixes)
-    names = name_candidates(pool, text, options.now, options.fuzzy)
     content = near = None
     if kind != DIRECTORY:
         content = content_search(docs, text, options.limit, kind, fuzzy=options.fuzzy).select("path", F.col("score").alias("bm25"))
@@ -123,25 +131,26 @@ def unified_search(files: DataFrame, docs: DataFrame, query: str, options: Optio
         if options.prefixes:
             content = content.filter(under(F.col("path"), options.prefixes))
             near = None if near is None else near.filter(under(F.col("path"), options.prefixes))
-    return ranked(merge(files, names, content, near, options.now), interactions, options.now, options.limit)
+    pool = _eligible(kind, options.prefixes)
+    return ranked(merge(files, pool, text, content, near, options.now, options.fuzzy), interactions, options.now, options.limit)
 
 
 def with_snippets(results: DataFrame, docs: DataFrame, query: str, most: int = 200) -> DataFrame:
     """A snippet for the results that score 2000 at least and are no binary kind; joined after the limit."""
     text = parse_query(query).text
-    have = docs.join(F.broadcast(results.select("path")), "path", "left_semi").select("path", snippet(F.col("content"), text, most).alias("snip"))
+    read = F.substring("content", 1, K.SNIPPET_BYTES)
+    have = docs.join(bounded_broadcast(results.select("path"), MAX_MATCHES), "path", "left_semi").select("path", snippet(read, text, most).alias("snip"))
     wanted = (F.col("score") >= K.CONTENT) & ~F.coalesce(F.col("extension").isin(K.BINARY_EXTENSIONS), F.lit(False))
     return results.join(have, "path", "left").withColumn("content_snippet", F.when(wanted, F.col("snip"))).drop("snip")
 
 
 def scope_prefixes(files: DataFrame, scope: str, now: int, fuzzy: bool = False) -> list[str]:
     """Paths of the 20 best directories for a scope name; none found: no restriction."""
-    names = name_candidates(files.filter("is_dir"), scope, now, fuzzy)
-    top = ranked(merge(files, names, None, None, now), None, now, 20)
+    top = ranked(merge(files.filter("is_dir"), None, scope, None, None, now, fuzzy), None, now, 20)
     return [r["path"] for r in top.select("path").collect()]  # 20 rows at most
 
 
-def scoped_search(files: DataFrame, docs: DataFrame, query: str, options: Options, interactions: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+def scoped_search(files: DataFrame, docs: DataFrame | TextIndex, query: str, options: Options, interactions: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """``unified_search`` below the directories that an ``in:name`` in the query stands for."""
     text, kind, scope = parse_query(query)
     if scope:

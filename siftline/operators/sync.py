@@ -86,3 +86,8 @@ def journal_apply(changes: DataFrame, listing: DataFrame) -> tuple[DataFrame, Da
 def drifted(indexed_docs: int, expected: int) -> bool:
     """Whether the content index holds so few of the documents expected that it should be rebuilt."""
     return expected > 0 and indexed_docs < 0.85 * expected
+
+
+def older(then: int | None, now: int, seconds: int) -> bool:
+    """Whether a time is unknown or at least so many seconds ago."""
+    return then is None or now - then >= seconds

@@ -15,11 +15,6 @@ def delete(base: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
     return base.join(keys.select(key), key, "left_anti")
 
 
-def delete_cascade(files: DataFrame, ocr: DataFrame, vectors: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files with their OCR state and vectors; interactions are kept."""
-    return delete(files, keys), delete(ocr, keys), delete(vectors, keys)
-
-
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The row of each key that is last by ``order``; counted before the shuffle, so a hot key weighs little."""
     rest = [c for c in df.columns if c != key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +42,25 @@ def fit_lsh(vectors: DataFrame, dim: int, seed: int = 3):
     return lsh.fit(unit), unit
 
 
-def semantic_ann(vectors: DataFrame, query: list[float], k: int, floor: float = K.COSINE_FLOOR) -> DataFrame:
-    """The k best among the vectors that share an LSH bucket with the query, compared exactly."""
+def load_lsh(path: str) -> BucketedRandomProjectionLSHModel:
+    return BucketedRandomProjectionLSHModel.load(path)
+
+
+def ann_search(model, hashed: DataFrame, query: list[float], k: int, floor: float = K.COSINE_FLOOR) -> DataFrame:
+    """The k best among the vectors that share a bucket of the index with the query, compared exactly."""
     from pyspark.ml.linalg import Vectors
 
-    model, unit = fit_lsh(vectors, len(query))
     norm = sum(x * x for x in query) ** 0.5 or 1.0
-    near = model.approxNearestNeighbors(model.transform(unit), Vectors.dense([x / norm for x in query]), 10 * k)
+    near = model.approxNearestNeighbors(hashed, Vectors.dense([x / norm for x in query]), 10 * k)
     return semantic_topk(near.select("path", "vec_id", "vector"), query, k, floor)
 
 
+def semantic_ann(vectors: DataFrame, query: list[float], k: int, floor: float = K.COSINE_FLOOR) -> DataFrame:
+    """``ann_search`` with an index made for it alone."""
+    model, unit = fit_lsh(vectors, len(query))
+    return ann_search(model, model.transform(unit), query, k, floor)
+
+
 def stale_index(stored: int, current: int) -> bool:
     """Whether so many vectors are gone since an index of ``stored`` was built that it should be built again."""
     return stored > 0 and current / stored < 0.85

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from siftline.functions import constants as K
@@ -11,7 +9,7 @@ from siftline.functions import scoring, values
 from siftline.operators import search, vectors
 from siftline.operators.search import Options
 from siftline.plans import views as V
-from siftline.plans.tables import _EXT
+from siftline.plans.tables import _APPLIED, _EXT, _SHOW, REPLAYED
 from siftline.plans.texts import _BONUS, _RECENCY, content_cte, tier_sql, typo_sql
 from siftline.plans.views import NOW, sql
 from siftline.runtime import stage
@@ -34,14 +32,14 @@ def _unified(query, semantic=False, **options):
     def run(spark, d):
         near = vectors.semantic_scan(V.vectors(spark, d), _query_vector(spark, d)) if semantic else None
         find = search.scoped_search if "in:" in query else search.unified_search
-        out = find(V.files(spark, d), V.docs(spark, d), query, Options(now=NOW, **options), V.interactions(spark, d), near)
+        out = find(V.files(spark, d), V.index(spark, d), query, Options(now=NOW, **options), V.interactions(spark, d), near)
         return out.select(*[F.round("score", 2).alias("score") if c == "score" else c for c in _SHOWN])
 
     return run
 
 
 def _content_score(spark, d):
-    hits = search.content_search(V.docs(spark, d), QUERY, 30)
+    hits = search.content_search(V.index(spark, d), QUERY, 30)
     times = V.files(spark, d).select("path", "modified_ts")
     rows = hits.join(times, "path", "left").withColumn("modified_ts", F.coalesce("modified_ts", F.lit(0)))
     return rows.select("path", F.round(scoring.content_score(F.col("score"), F.col("modified_ts"), F.col("extension"), NOW), 6).alias("score"))
@@ -49,14 +47,14 @@ def _content_score(spark, d):
 
 def _both(spark, d):
     names = search.filename_hits(V.files(spark, d), QUERY, NOW)
-    hits = search.content_search(V.docs(spark, d), QUERY, 30).select("path")
+    hits = search.content_search(V.index(spark, d), QUERY, 30).select("path")
     return names.join(hits, "path").select("path", F.round(F.col("score") + K.BOTH + 50.0, 6).alias("score"))
 
 
 def _semantic_merge(spark, d):
     near = vectors.semantic_scan(V.vectors(spark, d), _query_vector(spark, d))
     files = V.files(spark, d)
-    merged = search.merge(files, search.name_candidates(files, QUERY, NOW, False), None, near.select("path", "similarity"), NOW)
+    merged = search.merge(files, None, QUERY, None, near.select("path", "similarity"), NOW)
     return merged.select("path", F.round("score", 6).alias("score"), "match_type")
 
 
@@ -75,30 +73,29 @@ def _result_json(spark, d):
 
 def _product(spark, d):
     """The ranked list with the fuzzy pass, the fuzzy fallback of the content search, and snippets."""
-    out = search.unified_search(V.files(spark, d), V.docs(spark, d), QUERY, Options(now=NOW), V.interactions(spark, d))
+    out = search.unified_search(V.files(spark, d), V.index(spark, d), QUERY, Options(now=NOW), V.interactions(spark, d))
     return search.with_snippets(out, V.docs(spark, d), QUERY).select("path", F.round("score", 2).alias("score"), "bucket", "match_type", "content_snippet")
 
 
 def _stream(spark, d):
-    """The journal replayed as a stream, twice; the files table after it."""
-    import os
-    from urllib.parse import urlparse
+    """The journal replayed as a stream on snapshot 7, twice, snapshot 8 being what is there; the files table after it."""
+    from uuid import uuid4
 
+    from siftline.engine import Engine
     from siftline.runtime import checkpoint_dir
-    from siftline.sources.store import Store
     from siftline.streaming import journal
 
-    shared = urlparse(checkpoint_dir(spark)).path
-    os.makedirs(shared, exist_ok=True)
-    root = tempfile.mkdtemp(prefix="stream-", dir=shared)
-    store = Store(root + "/store")
-    store.publish({"files": V.files(spark, d)})
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid4().hex}"
+    engine = Engine(spark, root + "/store")
+    columns = V.files(spark, d).columns
+    engine.store.publish({"files": V.snapshot(spark, d, 7).select(columns)})
     V.changes(spark, d).repartitionByRange(4, "event_id").write.parquet(root + "/journal")
-    listing = V.files(spark, d)
+    listing = stage(V.snapshot(spark, d, 8).select(columns), "listing")
     for _ in range(2):
-        query = journal.start(journal.read_journal(spark, root + "/journal"), store, listing, root + "/checkpoint")
-        query.awaitTermination()
-    return stage(store.read(spark, "files"), "streamed").select("path", "modified_ts", "size_bytes")
+        journal.start(journal.read_journal(spark, root + "/journal"), engine, listing, root + "/checkpoint").awaitTermination()
+    out = stage(engine.files(), "streamed")
+    engine.store.files.remove("")
+    return out.select(*_SHOW.split(", "))
 
 
 QUERIES = {
@@ -204,5 +201,5 @@ ORACLE = {
     "semantic_topk": sql(_NEAR + f"(SELECT * FROM sims WHERE similarity >= {K.COSINE_FLOOR} ORDER BY similarity DESC, vec_id LIMIT 50)", **_SEM),
     "result_json": sql("""SELECT path, '{"path":' || to_json(path) || ',"match_type":"' || match_type || '","is_dir":' || is_dir || ',"interactions":' || interactions || '}' AS json FROM u""",
         u=unified_sql(QUERY)),
-    "stream_sync": sql("SELECT path, modified_ts, size_bytes FROM files_v"),
+    "stream_sync": sql(REPLAYED, indexed_v=V.CTE["indexed_v"], **_APPLIED),
 }

@@ -37,6 +37,26 @@ def _files(columns=_SHOW, where=None):
     return run
 
 
+def _below(excluded, names):
+    """Files whose paths are below some artefact by turns, those kept."""
+    def run(spark, d):
+        rows = V.files(spark, d)
+        at = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.length("path"), F.lit(len(names))) + 1).cast("int"))
+        return rows.withColumn("path", F.concat(at, "path")).filter(~excluded(F.col("path"))).select(*_SHOW.split(", "))
+
+    return run
+
+
+def _below_sql(names, where):
+    moved = f"SELECT [{quoted(names)}][length(path) % {len(names)} + 1] || path AS path, filename, extension, size_bytes, modified_ts, is_dir FROM files_v"
+    return sql(f"SELECT {_SHOW} FROM ({moved}) WHERE NOT ({where})")
+
+
+_ARTEFACTS = ["", "/a/node_modules", "/x.egg-info/b", "/home/u/.cargo", "/targets", "/u/Library/Caches/z", "/u/Library/z", "/u/.git"]
+_HOMES = ["", "/u/.cache", "/u/.local/share/Trash/x", "/u/.local/share", "/u/cache"]
+_SYSTEMS = ["", "/proc", "/sys/x", "/devices", "/boot", "/home/boot"]
+
+
 def _scan(spark, d):
     listing = V.files(spark, d).filter("not is_dir").select("path", "size_bytes", "modified_ts")
     return scan.scanned(listing).drop("created_ts")
@@ -77,7 +97,7 @@ def _hashed(spark, d):
 
 
 def _journal(spark, d, deletes: bool):
-    updates, gone = sync.journal_apply(V.changes(spark, d), V.files(spark, d))
+    updates, gone = sync.journal_apply(V.changes(spark, d), V.snapshot(spark, d, 8))
     return gone.select("path") if deletes else updates.select(*_SHOW.split(", "))
 
 
@@ -113,7 +133,8 @@ def _quick(spark, d):
 
 def _drift(spark, d):
     counts = V.docs(spark, d).agg(F.count("*").alias("indexed")).crossJoin(fulltext.extractable(V.files(spark, d)).agg(F.count("*").alias("expected")))  # one row each
-    return counts.withColumn("drifted", (F.col("expected") > 0) & (F.col("indexed") < 0.85 * F.col("expected")))
+    found = counts.head()
+    return counts.withColumn("drifted", F.lit(sync.drifted(found["indexed"], found["expected"])))
 
 
 def _doctor(spark, d):
@@ -129,9 +150,9 @@ QUERIES = {
     "type_filter": _files(where=lambda: F.col("extension") == "pdf"),
     "dir_filter": _files(where=lambda: F.col("is_dir")),
     "path_filter": _files(where=lambda: P.under(F.col("path"), _ROOTS)),
-    "exclude_default": _files(where=lambda: ~P.excluded_default(F.col("path"))),
-    "exclude_home": _files(where=lambda: ~P.excluded_home(F.col("path"))),
-    "exclude_os": _files(where=lambda: ~P.excluded_os(F.col("path"))),
+    "exclude_default": _below(P.excluded_default, _ARTEFACTS),
+    "exclude_home": _below(P.excluded_home, _HOMES),
+    "exclude_os": _below(P.excluded_os, _SYSTEMS),
     "scan_files": _scan,
     "scan_stats": lambda s, d: scan.scan_stats(V.files(s, d)),
     "dir_size": lambda s, d: scan.dir_sizes(V.files(s, d)),
@@ -155,7 +176,7 @@ QUERIES = {
     "latest_state": lambda s, d: tables.latest(V.changes(s, d), "path", "event_id"),
     "journal_flags": _flags,
     "journal_apply": _journal_apply,
-    "journal_replay": lambda s, d: tables.upsert(tables.delete(V.files(s, d), _journal(s, d, True)).select(*_SHOW.split(", ")), _journal(s, d, False)),
+    "journal_replay": lambda s, d: tables.upsert(tables.delete(V.snapshot(s, d, 7), _journal(s, d, True)).select(*_SHOW.split(", ")), _journal(s, d, False)),
     "diff_new": _diff("new"), "diff_modified": _diff("modified"), "diff_deleted": _diff("deleted"),
     "changed_for_content": _changed,
     "dir_prune": lambda s, d: sync.pruned_listing(V.snapshot(s, d, 8), _LAST_SYNC).select("path", "modified_ts"),
@@ -169,8 +190,12 @@ _PRUNED = f"""SELECT l.path, l.modified_ts FROM (SELECT *, regexp_replace(path,
   WHERE NOT (len(string_split(parent, '/')) - 1 > 5) OR dir_ts IS NULL OR dir_ts > {_LAST_SYNC}"""
 _HOTS = " OR ".join(f"path = '{r}' OR starts_with(path, '{r}/')" for r in _HOT)
 _LAST = "SELECT * FROM changes_v QUALIFY row_number() OVER (PARTITION BY path ORDER BY event_id DESC) = 1"
-_APPLY = """SELECT path, 'update' AS change FROM last_c WHERE path IN (SELECT path FROM files_v)
-  UNION ALL SELECT path, 'delete' FROM last_c WHERE (removed OR renamed) AND path NOT IN (SELECT path FROM files_v)"""
+# the journal is replayed on snapshot 7, snapshot 8 being what is there now
+_APPLY = """SELECT path, 'update' AS change FROM scanned_v WHERE path IN (SELECT path FROM last_c WHERE NOT must_scan_dir)
+    OR (NOT is_dir AND regexp_replace(path, '/[^/]*$', '') IN (SELECT path FROM last_c WHERE must_scan_dir))
+  UNION ALL SELECT path, 'delete' FROM last_c WHERE NOT must_scan_dir AND (removed OR renamed) AND path NOT IN (SELECT path FROM scanned_v)"""
+_APPLIED = {"scanned_v": V.CTE["scanned_v"], "changes_v": V.CTE["changes_v"], "last_c": _LAST, "applied": _APPLY}
+REPLAYED = f"""SELECT {_SHOW} FROM indexed_v WHERE path NOT IN (SELECT path FROM applied) UNION ALL SELECT {_SHOW} FROM scanned_v WHERE path IN (SELECT path FROM applied WHERE change = 'update')"""
 _DECAY = " ".join(f"WHEN timestamp >= {NOW - days * 86400} THEN {w}" for days, w in K.DECAY)
 _META = """concat_ws(' ', CASE WHEN exif.date_taken IS NOT NULL THEN '[Date: ' || split_part(exif.date_taken, 'T', 1) || ']' END,
   CASE WHEN exif.gps IS NOT NULL THEN '[Location: ' || exif.gps || ']' END)"""
@@ -186,9 +211,9 @@ ORACLE = {
     "type_filter": sql(f"SELECT {_SHOW} FROM files_v WHERE extension = 'pdf'"),
     "dir_filter": sql(f"SELECT {_SHOW} FROM files_v WHERE is_dir"),
     "path_filter": sql(f"SELECT {_SHOW} FROM files_v WHERE " + " OR ".join(f"starts_with(path, '{r}')" for r in _ROOTS)),
-    "exclude_default": sql(f"SELECT {_SHOW} FROM files_v WHERE NOT ({_EXCLUDED})"),
-    "exclude_home": sql(f"SELECT {_SHOW} FROM files_v WHERE NOT ({_HOME})"),
-    "exclude_os": sql(f"SELECT {_SHOW} FROM files_v WHERE NOT ({_OS})"),
+    "exclude_default": _below_sql(_ARTEFACTS, _EXCLUDED),
+    "exclude_home": _below_sql(_HOMES, _HOME),
+    "exclude_os": _below_sql(_SYSTEMS, _OS),
     "scan_files": sql("SELECT * FROM scan_a", scan_f=_SCAN, scan_a=_SCANNED),
     "scan_stats": sql("SELECT count(*) FILTER (NOT is_dir) AS files, count(*) FILTER (is_dir) AS dirs, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM files_v"),
     "dir_size": sql("SELECT path, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) AS files FROM up WHERE path <> '' GROUP BY path",
@@ -215,12 +240,12 @@ ORACLE = {
     "embed_skip": sql("SELECT path, mtime, embed_hash, CASE WHEN h = embed_hash THEN 'touch' ELSE 'embed' END AS todo FROM c",
         c=f"""SELECT d.path, coalesce(v.mtime + 1, {NOW}) AS mtime, CASE WHEN length(content) % 2 = 0 AND v.embed_hash IS NOT NULL THEN v.embed_hash ELSE sha256(content) END AS embed_hash, v.embed_hash AS h
   FROM docs_v d LEFT JOIN vectors_v v USING (path)"""),
-    "vec_invalidate": sql("SELECT path, vec_id FROM vectors_v WHERE path NOT IN (SELECT path FROM applied)", files_v=V.CTE["files_v"], changes_v=V.CTE["changes_v"], last_c=_LAST, applied=_APPLY),
+    "vec_invalidate": sql("SELECT path, vec_id FROM vectors_v WHERE path NOT IN (SELECT path FROM applied)", **_APPLIED),
     "latest_state": sql(_LAST),
     "journal_flags": """SELECT event_id, NOT s AND f & 256 > 0 AS created, NOT s AND f & 4096 > 0 AS modified, NOT s AND f & 512 > 0 AS removed, NOT s AND f & 2048 > 0 AS renamed, s AS must_scan_dir
   FROM (SELECT id AS event_id, (id * 7919) % 131072 AS f, ((id * 7919) % 131072) & 1 > 0 AS s FROM interactions) WHERE f & 16 = 0 AND (s OR (f & 65536 > 0 AND f & 6912 > 0))""",
-    "journal_apply": sql("SELECT * FROM applied", files_v=V.CTE["files_v"], changes_v=V.CTE["changes_v"], last_c=_LAST, applied=_APPLY),
-    "journal_replay": sql(f"SELECT {_SHOW} FROM files_v"),
+    "journal_apply": sql("SELECT * FROM applied", **_APPLIED),
+    "journal_replay": sql(REPLAYED, indexed_v=V.CTE["indexed_v"], **_APPLIED),
     "diff_new": sql(f"SELECT {_SHOW} FROM scanned_v WHERE path NOT IN (SELECT path FROM indexed_v)"),
     "diff_modified": sql(f"SELECT {', '.join('s.' + c for c in _SHOW.split(', '))} FROM scanned_v s JOIN indexed_v i USING (path) WHERE s.modified_ts > i.modified_ts"),
     "diff_deleted": sql(f"SELECT {_SHOW} FROM indexed_v WHERE path NOT IN (SELECT path FROM scanned_v) AND {_UNDER_ROOT}"),

@@ -88,12 +88,12 @@ def _deleted(spark, d):
 
 
 def _bm25(spark, d):
-    return fulltext.bm25(V.docs(spark, d), TERMS).select("path", F.round("score", 6).alias("score"))
+    return fulltext.bm25(V.index(spark, d), TERMS).select("path", F.round("score", 6).alias("score"))
 
 
 def _content(query, fuzzy=False, kind=None):
     def run(spark, d):
-        out = fulltext.content_search(V.docs(spark, d), query, 20, kind, fuzzy)
+        out = fulltext.content_search(V.index(spark, d), query, 20, kind, fuzzy)
         return out.select("path", "extension", F.round("score", 6).alias("score"))
 
     return run
@@ -181,6 +181,7 @@ QUERIES = {
     "snippet": _docs(snip=lambda c: text.snippet(c, "archive")),
     "redact_home": lambda s, d: V.files(s, d).select("path", text.redact_home(F.col("path"), "/home/desk01").alias("shown")),
     "exif_text": lambda s, d: V.read(s, d, "ocr_results").select("ocr_id", text.exif_text(F.col("exif")).alias("meta")),
+    "exif_date": lambda s, d: V.read(s, d, "ocr_results").select("ocr_id", values.exif_date(F.col("exif.date_taken")).alias("taken")),
     "path_list": _paths,
     "csv_preview": _docs(table=text.csv_preview),
     "fnv1a": _names(hash=values.fnv1a),
@@ -230,7 +231,30 @@ for _c in K.SYNTAX.replace("\\", ""):
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '\\{_c}')"
 _UNITS = [("KB", 1024.0), ("MB", 1024.0**2), ("GB", 1024.0**3)]
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ESC = "replace(replace(replace(content, '&', '&amp;'), '>', '&gt;'), '<', '&lt;')"
+_UNZIPPED = rf"substr(regexp_replace(regexp_replace({_ESC}, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '{_BLANK}+', ' ', 'g'), 1, {K.DOC_CHARS})"
+_MD = r"""array_to_string(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '%s', '', 'g'), '\r?\n'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')),
+  lambda s: NOT regexp_matches(s, '%s')), lambda s: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^#+', ''), '^\s+|\s+$', '', 'g'), '\*\*|__', '', 'g'),
+  '`[^`]*(`|$)', '', 'gs'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '%s', '')), lambda s: s <> ''), ' ')""" % (text.MD_FENCED, text.MD_DROPPED, text.MD_MARKS)
+_CELLS = r"list_transform(list_transform(list_filter(regexp_split_to_array(content, '\r?\n'), lambda s: trim(s) <> '')[1:20], lambda s: list_transform(string_split(s, ',')[1:5], lambda c: substr(trim(c), 1, 20))), lambda r: '| ' || array_to_string(r, ' | ') || ' |')"
+_WIDE = r"least(5, len(string_split(list_filter(regexp_split_to_array(content, '\r?\n'), lambda s: trim(s) <> '')[1], ',')))"
+_PARSED = f"""SELECT item_id, CASE WHEN lead THEN substr(t, 2) WHEN dir OR kind IS NOT NULL THEN array_to_string(r[1:len(r) - 1], ' ') ELSE t END AS text,
+  CASE WHEN lead OR dir THEN '__dir__' ELSE kind END AS type, CASE WHEN i0 > 0 THEN lower(substr(w[i0], 4)) END AS scope FROM
+  (SELECT *, starts_with(t, '/') AND length(t) > 1 AS lead, len(r) > 1 AND (r[-1] = '/' OR lower(r[-1]) IN ('folder', 'dir')) AS dir,
+    CASE WHEN len(r) > 1 AND lower(ltrim(r[-1], '.')) IN ({V.quoted(K.QUERY_EXTENSIONS)}) THEN lower(ltrim(r[-1], '.')) END AS kind FROM
+  (SELECT *, array_to_string(r, ' ') AS t FROM (SELECT *, CASE WHEN i0 > 0 THEN list_concat(w[1:i0 - 1], w[i0 + 1:]) ELSE w END AS r FROM
+  (SELECT *, coalesce(list_position(list_transform(w, lambda x: starts_with(x, 'in:') AND length(x) > 3), true), 0) AS i0 FROM
+  (SELECT item_id, list_filter(regexp_split_to_array(query || [' pdf', ' in:downloads', ' folder', ''][item_id % 4 + 1], '\\s+'), lambda x: x <> '') AS w FROM eval_items)))))"""
+
 ORACLE = {
+    "parse_query": _PARSED,
+    "extract_docx": sql(f"SELECT path || '.docx' AS path, {_UNZIPPED} AS text, NULL AS error FROM docs_v"),
+    "extract_xlsx": sql(f"SELECT path || '.xlsx' AS path, {_UNZIPPED} AS text, NULL AS error FROM docs_v"),
+    "strip_md": sql(f"SELECT path, {_MD} AS plain FROM docs_v"),
+    "csv_preview": sql(f"SELECT path, CASE WHEN len({_CELLS}) > 0 THEN array_to_string(list_concat(list_concat({_CELLS}[1:1], ['|' || repeat(' --- |', {_WIDE})]), {_CELLS}[2:]), chr(10)) END AS \"table\" FROM docs_v"),
+    "vec_codec": sql("SELECT vec_id, CAST(4 * len(vector) AS INTEGER) AS bytes, CASE WHEN len(vector) = 64 THEN true END AS same FROM vectors_v WHERE vector IS NOT NULL"),
+    "exif_date": """SELECT ocr_id, coalesce(strftime(coalesce(try_strptime(exif.date_taken, '%Y:%m:%d %H:%M:%S'), try_strptime(exif.date_taken, '%Y-%m-%d %H:%M:%S')), '%Y-%m-%dT%H:%M:%S'), exif.date_taken) AS taken FROM ocr_results""",
     "extract_text": _content_sql("text", "content"),
     "tokenize": _content_sql("tokens", f"array_to_string({tok('content')}, ' ')"),
     "build_postings": sql("SELECT * FROM p", docs_v=V.CTE["docs_v"], ft=FT, p=_POSTS),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import constants as K
+from siftline.operators.fulltext import TextIndex, build_index
 from siftline.operators.snapshots import whole_seconds
+from siftline.functions.paths import parent_of
 from siftline.operators.tables import latest
 from siftline.runtime import read
 
@@ -27,6 +29,17 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return last.filter(F.col("extension").isin(K.CONTENT_EXTENSIONS))
 
 
+_INDEXES: dict = {}
+
+
+def index(spark: SparkSession, d: str) -> TextIndex:
+    """The text index of the documents, built once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(docs(spark, d))
+    return _INDEXES[key]
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return latest(read(spark, d, "semantic_vectors").filter("path is not null"), "path", "mtime", "vec_id").select("path", "vec_id", "vector", "mtime", "embed_hash")
 
@@ -43,11 +56,11 @@ def ocr_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """A change journal: what was done to files, as changes of them."""
+    """A change journal: what was done to files, as changes of them; of some, only that their directory must be scanned."""
     a = F.col("action")
     return read(spark, d, "interactions").filter("path is not null").select(
-        F.col("id").alias("event_id"), "path", (a == "finder").alias("created"), a.isin("open", "copy").alias("modified"),
-        (a == "trash").alias("removed"), (a == "preview").alias("renamed"), F.lit(False).alias("must_scan_dir"),
+        F.col("id").alias("event_id"), F.when((a == "finder") & (F.col("id") % 3 == 0), parent_of(F.col("path"))).otherwise(F.col("path")).alias("path"), (a == "finder").alias("created"), a.isin("open", "copy").alias("modified"),
+        (a == "trash").alias("removed"), (a == "preview").alias("renamed"), ((a == "finder") & (F.col("id") % 3 == 0)).alias("must_scan_dir"),
     )
 
 
@@ -82,8 +95,8 @@ CTE = {
     "vectors_v": "SELECT path, vec_id, vector, mtime, embed_hash FROM semantic_vectors WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC, vec_id DESC) = 1",
     "ocr_v": """SELECT o.path, f.modified_ts - f.size_bytes % 2 AS modified_ts, 1 AS ocr_done, o.confidence
   FROM (SELECT path, avg(confidence) AS confidence FROM ocr_results WHERE path IS NOT NULL GROUP BY path) o JOIN files f USING (path)""",
-    "changes_v": """SELECT id AS event_id, path, action = 'finder' AS created, action IN ('open', 'copy') AS modified, action = 'trash' AS removed, action = 'preview' AS renamed,
-  false AS must_scan_dir FROM interactions WHERE path IS NOT NULL""",
+    "changes_v": """SELECT id AS event_id, CASE WHEN action = 'finder' AND id % 3 = 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE path END AS path, action = 'finder' AS created, action IN ('open', 'copy') AS modified, action = 'trash' AS removed, action = 'preview' AS renamed,
+  action = 'finder' AND id % 3 = 0 AS must_scan_dir FROM interactions WHERE path IS NOT NULL""",
     "scanned_v": _SNAPSHOT % (_SECONDS, 8),
     "indexed_v": _SNAPSHOT % (_SECONDS, 7),
     "roots_v": "SELECT DISTINCT root FROM scan_runs WHERE snapshot_id = 8 AND complete",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +14,30 @@ _STAGED: dict[str, SparkSession] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="siftline-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: tuple | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends here, so a lost executor costs only the tasks that read the table.
-    The tables are removed when the driver's Python ends.
+    The tables are removed at the end of ``staging``, or when the driver's Python ends. ``by`` names a column by whose values
+    the table is laid out in folders, and one by which it is sorted.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    if by:
+        df.repartition(by[0]).sortWithinPartitions(*by).write.partitionBy(by[0]).option("compression", "zstd").parquet(path)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
     if not _STAGED:
         atexit.unregister(_sweep)
         atexit.register(_sweep)
@@ -46,6 +53,17 @@ def unstage(df: DataFrame) -> None:
     _remove(_STAGED.pop(path), path)
 
 
+@contextmanager
+def staging():
+    """Removes the tables staged within at its end; what comes out must not read them."""
+    before = set(_STAGED)
+    try:
+        yield
+    finally:
+        for path in set(_STAGED) - before:
+            _remove(_STAGED.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siftline.engine import Engine
 from siftline.functions.paths import extension_of, filename_of
-from siftline.operators.fulltext import index_delete, index_upsert
-from siftline.operators.sync import journal_apply
-from siftline.operators.tables import delete, upsert
-from siftline.sources.store import Store
 
 CHANGES = "event_id long, path string, created boolean, modified boolean, removed boolean, renamed boolean, must_scan_dir boolean"
 
@@ -20,32 +19,27 @@ def read_journal(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def apply_batch(store: Store, listing: DataFrame, texts: DataFrame | None = None):
-    """A foreachBatch function that brings the store's files, postings and vectors in step with a batch of changes.
+def apply_batch(engine: Engine, listing: DataFrame | Callable[[], DataFrame], texts: DataFrame | Callable[[], DataFrame] | None = None):
+    """A foreachBatch function that brings all tables of an engine in step with a batch of changes.
 
-    All tables of a batch are published as one generation together with the batch's number, and a batch that was published
-    is skipped when it is delivered again, so that a replay changes nothing.
+    ``listing`` (and ``texts``) may be functions that are asked for each batch, so that a long-lived stream sees files as they
+    are. All tables of a batch are published as one generation together with the batch's number and the last change, and a
+    batch that was published is skipped when it is delivered again, so that a replay changes nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if store.meta("last_batch", -1) >= batch_id:
+        if engine.store.meta("last_batch", -1) >= batch_id:
             return
-        spark = batch.sparkSession
-        updates, deletes = journal_apply(batch, listing)
-        gone = updates.select("path").unionByName(deletes)
-        tables = {"files": upsert(delete(store.read(spark, "files"), deletes), updates)}
-        if store.has("postings") and texts is not None:
-            tables["postings"] = index_upsert(index_delete(store.read(spark, "postings"), deletes), texts.join(updates.select("path"), "path", "left_semi"))
-        if store.has("vectors"):
-            tables["vectors"] = delete(store.read(spark, "vectors"), gone)
         last = batch.agg(F.max("event_id")).head()[0]
-        store.publish(tables, {"last_batch": batch_id, "journal_cursor": last if last is not None else store.meta("journal_cursor", 0)})
+        meta = {"last_batch": batch_id, "journal_cursor": last if last is not None else engine.store.meta("journal_cursor", 0)}
+        now = [x() if callable(x) else x for x in (listing, texts)]
+        engine.apply_changes(batch, now[0], now[1], meta)
 
     return run
 
 
-def start(stream: DataFrame, store: Store, listing: DataFrame, checkpoint: str, texts: DataFrame | None = None) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(apply_batch(store, listing, texts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(stream: DataFrame, engine: Engine, listing, checkpoint: str, texts=None) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(apply_batch(engine, listing, texts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def listing_of(paths: DataFrame) -> DataFrame:
