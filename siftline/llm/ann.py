@@ -21,8 +21,13 @@ from siftline.runtime import stage
 
 #: Vectors the quantisers are fitted on, at most (every vector is indexed).
 TRAIN_ROWS = 65_536
-#: Vectors aimed at per list, and the most lists; lists above BLOCK entries are searched in blocks.
-LIST_ROWS, MAX_LISTS, BLOCK = 256, 4096, 8192
+#: Vectors aimed at per list; lists above BLOCK entries are searched in blocks.
+LIST_ROWS, BLOCK = 256, 8192
+#: Lists with a centroid of their own, at most; beyond, a list is a coarse centroid and one of up to MAX_FINE residuals, so that
+#: lists keep their size up to about a thousand million vectors.
+MAX_COARSE, MAX_FINE = 4096, 1024
+#: Lists that are ranked when the probes needed are counted.
+RANKED = 4096
 #: Sub-spaces and codes of the product quantiser.
 PARTS, CODES = 8, 256
 #: Lists of a cell: a query is sent once to each cell that has lists it probes.
@@ -33,12 +38,44 @@ ASKED, HELD = 512, 0.97
 
 @dataclass
 class Quantiser:
-    centroids: np.ndarray  # lists x dim
+    coarse: np.ndarray  # coarse centroids x dim
+    fine: np.ndarray  # residuals x dim; one row of zeros if there is one level
     books: np.ndarray  # parts x codes x dim / parts
-    cells: np.ndarray  # the cell of each list
+    cells: np.ndarray  # the cell of each coarse centroid, or its first
+
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centroids(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def cell(self, lists: np.ndarray) -> np.ndarray:
+        """Lists that lie close together; of two levels, CELL_LISTS of one coarse centroid."""
+        more = -(-len(self.fine) // CELL_LISTS)
+        return (self.cells[lists // len(self.fine)] * more + lists % len(self.fine) // CELL_LISTS).astype(np.int32)
+
+    def nearest(self, v: np.ndarray, k: int) -> np.ndarray:
+        """The k closest lists of each row, best first."""
+        k = min(k, self.lists)
+        if len(self.fine) == 1:
+            return np.stack(nearest(v, self.coarse, k), 1)
+        out, wide = [], len(self.fine)
+        first = min(len(self.coarse), max(8, -(-4 * k // wide)))
+        cross, half = self.coarse @ self.fine.T, (self.fine * self.fine).sum(1) / 2
+        norm = (self.coarse * self.coarse).sum(1) / 2
+        for s in range(0, len(v), step := max(16, 4_000_000 // (first * wide))):
+            x = v[s : s + step]
+            near = np.stack(nearest(x, self.coarse, first), 1)
+            score = np.take_along_axis(x @ self.coarse.T - norm, near, 1)[:, :, None] + (x @ self.fine.T - half)[:, None, :] - cross[near]
+            score = score.reshape(len(x), -1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+            out.append(np.take_along_axis(near, top // wide, 1) * wide + top % wide)
+        return np.concatenate(out) if out else np.empty((0, k), dtype=int)
 
     def encode(self, v: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = (v - self.centroids[lists]).reshape(len(v), len(self.books), -1)
+        rest = (v - self.centroids(lists)).reshape(len(v), len(self.books), -1)
         out = np.empty(rest.shape[:2], dtype=np.uint8)
         for m, book in enumerate(self.books):
             out[:, m] = nearest(rest[:, m], book)[0]
@@ -78,17 +115,19 @@ def kmeans(v: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centers
 
 
-def fit(sample: np.ndarray, lists: int, parts: int = PARTS, rounds: int = 8, seed: int = 7) -> Quantiser:
-    centroids = kmeans(sample, lists, rounds, seed)
-    rest = (sample - centroids[nearest(sample, centroids)[0]])[:32_768].reshape(min(len(sample), 32_768), parts, -1)
+def fit(sample: np.ndarray, lists: int, parts: int = PARTS, rounds: int = 8, seed: int = 7, max_coarse: int = MAX_COARSE) -> Quantiser:
+    coarse = kmeans(sample, min(lists, max_coarse), rounds, seed).astype(np.float32)
+    rest = sample - coarse[nearest(sample, coarse)[0]]
+    wide = min(MAX_FINE, -(-lists // len(coarse)))
+    fine = kmeans(rest, wide, rounds, seed + 99).astype(np.float32) if wide > 1 else np.zeros((1, sample.shape[1]), dtype=np.float32)
+    rest = (rest - fine[nearest(rest, fine)[0]])[:32_768].reshape(min(len(sample), 32_768), parts, -1)
     books = np.zeros((parts, CODES, rest.shape[2]), dtype=np.float32)
     for m in range(parts):
         found = kmeans(np.ascontiguousarray(rest[:, m]), CODES, rounds, seed + m)
         books[m, : len(found)] = found
         books[m, len(found) :] = found[:1]
-    centroids = centroids.astype(np.float32)
-    cells = nearest(centroids, kmeans(centroids, -(-len(centroids) // CELL_LISTS), rounds, seed))[0]
-    return Quantiser(centroids, books, cells.astype(np.int32))
+    cells = nearest(coarse, kmeans(coarse, -(-len(coarse) // CELL_LISTS), rounds, seed))[0] if wide == 1 else np.arange(len(coarse))
+    return Quantiser(coarse, fine, books, cells.astype(np.int64))
 
 
 def _usable(dim: int):
@@ -126,12 +165,12 @@ def _assign(shared, probes: int, code: bool):
                 continue
             v = _matrix(pdf["unit"])
             if code:
-                lists = nearest(v, model.centroids)[0]
+                lists = model.nearest(v, 1)[:, 0]
                 codes = [x.tobytes() for x in model.encode(v, lists)]
-                yield pd.DataFrame({"rid": pdf["rid"], "cell": model.cells[lists], "list": lists.astype(np.int32), "code": codes, "unit": pdf["unit"]})
+                yield pd.DataFrame({"rid": pdf["rid"], "cell": model.cell(lists), "list": lists.astype(np.int32), "code": codes, "unit": pdf["unit"]})
             else:
-                lists = np.stack(nearest(v, model.centroids, min(probes, len(model.centroids))), 1).astype(np.int32)
-                yield pd.DataFrame({"rid": pdf["rid"], "lists": list(model.cells[lists] * MAX_LISTS + lists), "unit": pdf["unit"]})
+                lists = model.nearest(v, probes).astype(np.int64)
+                yield pd.DataFrame({"rid": pdf["rid"], "lists": list(model.cell(lists).astype(np.int64) << 32 | lists), "unit": pdf["unit"]})
 
     return assign
 
@@ -140,7 +179,7 @@ def _best_of(model: Quantiser, one: int, q: np.ndarray, qid: np.ndarray, v: np.n
     """Similarities and ids of the k best entries of one list for each query, best first; -2 where there is none."""
     if len(v) > rerank:
         tables = model.tables(q)
-        guess = np.repeat((q @ model.centroids[one])[:, None], len(v), axis=1)
+        guess = np.repeat((q @ model.centroids(np.array([one])).T), len(v), axis=1)
         for m in range(codes.shape[1]):
             guess += np.take(tables[:, m], codes[:, m], axis=1)
         top = np.argpartition(-guess, rerank - 1, axis=1)[:, :rerank]
@@ -173,7 +212,7 @@ def _true_lists(shared, k: int, least: float):
 
 def enough_probes(index: DataFrame, model: Quantiser, ids: np.ndarray, q: np.ndarray, k: int, least: float, probes: int) -> int:
     """How many lists must be probed (``probes`` at least) to hold the share HELD of the true neighbours of the queries, found by brute force over all vectors."""
-    if len(model.centroids) <= probes:
+    if model.lists <= probes:
         return probes
     shared = index.sparkSession.sparkContext.broadcast((ids, q))
     found = index.select("rid", "list", "unit").mapInPandas(_true_lists(shared, k, least), "q int, sim double, list int")
@@ -181,8 +220,14 @@ def enough_probes(index: DataFrame, model: Quantiser, ids: np.ndarray, q: np.nda
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(cell)), 1, k).alias("b")).select("q", "b.list").collect()  # ASKED rows of k
     if not best:
         return probes
-    rank = np.argsort(np.stack(nearest(q, model.centroids, len(model.centroids)), 1), axis=1)
-    needed = np.sort(np.concatenate([rank[r["q"], r["list"]] for r in best])) + 1
+    ranked = model.nearest(q, RANKED)
+    needed = []
+    for r in best:
+        row = ranked[r["q"]]
+        order = np.argsort(row)
+        at = np.minimum(np.searchsorted(row, r["list"], sorter=order), len(row) - 1)
+        needed.append(np.where(row[order[at]] == r["list"], order[at] + 1, len(row)))
+    needed = np.sort(np.concatenate(needed))
     return max(probes, int(needed[int(np.ceil(HELD * len(needed))) - 1]))
 
 
@@ -195,7 +240,7 @@ def _scan(shared, k: int, rerank: int, least: float):
         v, every, qids = _matrix(entries["unit"]), _matrix(queries["unit"]), queries["rid"].to_numpy()
         codes = np.frombuffer(b"".join(entries["code"]), np.uint8).reshape(len(v), -1)
         asked = np.repeat(np.arange(len(queries)), [len(x) for x in queries["lists"]])
-        probed = np.concatenate(queries["lists"].to_list()) % MAX_LISTS
+        probed = np.concatenate(queries["lists"].to_list()) & 0xFFFFFFFF
         rows, near, sims = [], [], []
         for one in np.unique(of_list):
             mine, who = np.flatnonzero(of_list == one), asked[probed == one]
@@ -218,7 +263,7 @@ def _scan(shared, k: int, rerank: int, least: float):
     return scan
 
 
-def nearest_classes(classes: DataFrame, k: int, probes: int, rerank: int, least: float, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def nearest_classes(classes: DataFrame, k: int, probes: int, rerank: int, least: float, train_rows: int = TRAIN_ROWS, list_rows: int = LIST_ROWS, max_coarse: int = MAX_COARSE) -> DataFrame:
     """(rid, other, sim): the k most similar other classes of each of (rid, unit), found through the index."""
     spark = classes.sparkSession
     n = classes.count()
@@ -226,15 +271,15 @@ def nearest_classes(classes: DataFrame, k: int, probes: int, rerank: int, least:
     sample = part.orderBy(F.xxhash64("rid")).limit(train_rows).select("rid", "unit").toPandas()  # at most train_rows vectors
     if not len(sample):
         return spark.createDataFrame([], "rid long, other long, sim double")
-    learned = fit(_matrix(sample["unit"]), max(1, min(MAX_LISTS, n // LIST_ROWS)))
+    learned = fit(_matrix(sample["unit"]), max(1, n // list_rows), max_coarse=max_coarse)
     model = spark.sparkContext.broadcast(learned)
     index = stage(classes.mapInPandas(_assign(model, probes, True), "rid long, cell int, list int, code binary, unit binary"), "vector-index")
     some = sample.iloc[:ASKED]
     probes = enough_probes(index, learned, some["rid"].to_numpy(), _matrix(some["unit"]), k, least, probes)
-    asked = stage(classes.mapInPandas(_assign(model, probes, False), "rid long, lists array<int>, unit binary"), "vector-queries")
-    # one row per cell, MAX_LISTS at most
-    of = lambda x: F.shiftright(x, MAX_LISTS.bit_length() - 1)
+    asked = stage(classes.mapInPandas(_assign(model, probes, False), "rid long, lists array<long>, unit binary"), "vector-queries")
+    of = lambda x: F.shiftright(x, 32).cast("int")
     sent = asked.select("rid", "unit", "lists", F.explode(F.array_distinct(F.transform("lists", of))).alias("cell"))
+    # a row per cell, of about CELL_LISTS x list_rows vectors
     entries = dict(index.groupBy("cell").count().collect())
     queries = dict(sent.groupBy("cell").count().collect())
     plan = spark.createDataFrame(
@@ -255,8 +300,9 @@ def nearest_classes(classes: DataFrame, k: int, probes: int, rerank: int, least:
 
 
 def similar_vectors(
-    vectors: DataFrame, k: int = 10, least: float = -1.0, dim: int = 64, probes: int = 8, rerank: int = 64, train_rows: int = TRAIN_ROWS
-) -> DataFrame:
+    vectors: DataFrame, k: int = 10, least: float = -1.0, dim: int = 64, probes: int = 8, rerank: int = 64, train_rows: int = TRAIN_ROWS, list_rows: int = LIST_ROWS,
+    max_coarse: int = MAX_COARSE,
+) -> DataFrame:
     """(vec_id, other_id, sim, rank): the ``k`` most similar usable vectors of each usable vector, those below ``least`` left out.
 
     Usable is what ``usable_vectors`` says: null, short, long, zero and non-finite vectors, superseded rows, null paths and
@@ -267,7 +313,7 @@ def similar_vectors(
     rows = stage(usable_vectors(vectors, dim), "vectors")
     classes = rows.groupBy("key").agg(F.min(F.struct("id", "unit")).alias("r"), F.count("*").alias("members"))
     classes = stage(classes.select("key", F.col("r.id").alias("rid"), F.col("r.unit").alias("unit"), "members"), "vector-classes")
-    links = nearest_classes(classes.select("rid", "unit"), k, probes, rerank, least, train_rows)
+    links = nearest_classes(classes.select("rid", "unit"), k, probes, rerank, least, train_rows, list_rows, max_coarse)
     own = classes.filter("members > 1").select("rid", F.col("rid").alias("other"), F.lit(1.0).alias("sim"))
     # of a class, the k + 1 smallest ids are all that a neighbour or a member can need
     members = rows.select("id", "key").join(classes.select("key", "rid", F.col("members") > 1), "key").select("id", "rid")

@@ -107,11 +107,13 @@ def test_vectors_against_brute_force(spark):
     assert ann.similar_vectors(df.limit(0)).count() == 0
 
 
-def test_probes_grow_with_the_lists(spark):
+@pytest.mark.parametrize("options", [{}, {"list_rows": 24}, {"list_rows": 24, "max_coarse": 32}])
+def test_probes_grow_with_the_lists(spark, options):
+    """With few lists, with very many (500), and with as many of two levels."""
     rng = np.random.default_rng(6)
     v = rng.normal(size=(12_000, 16)) @ rng.normal(size=(16, 64))
     df = spark.createDataFrame([(i, f"/p/{i}", x, 5) for i, x in enumerate(v.tolist())], "vec_id long, path string, vector array<float>, mtime long")
-    got = ann.similar_vectors(df, k=10).toPandas()
+    got = ann.similar_vectors(df, k=10, **options).toPandas()
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     some = got[got.vec_id < 400]
     sims = unit[:400] @ unit.T
