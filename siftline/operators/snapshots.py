@@ -23,6 +23,7 @@ from siftline.runtime import bounded_broadcast, stage
 SEGMENT_BITS = 32768
 #: Keys aimed at per bucket when the number of buckets is chosen.
 KEYS_PER_BUCKET = 16384
+#: Scan roots that are looked up by each task, at most; more are joined.
 MAX_ROOTS = 50_000
 
 
@@ -59,6 +60,16 @@ def _canonical(roots: set[str]):
     return canonical
 
 
+def _placed_by_join(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(raw, place) of distinct (raw) paths: what ``_canonical`` gives, the places above each path being joined with the (root)s."""
+    known = paths.select("raw", _canonical(set())(F.col("raw"))["path"].alias("path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    found = known.filter("path is not null").select("raw", F.explode(above).alias("root")).join(roots, "root")
+    longest = found.groupBy("raw").agg(F.max_by("root", F.length("root")).alias("root"))
+    return known.join(longest, "raw", "left").select("raw", F.struct("path", "root").alias("place"))
+
+
 def complete_runs(scan_runs: DataFrame) -> DataFrame:
     """(root, snapshot_id, previous): the complete walks of a root and the complete walk before each (null: none)."""
     runs = (
@@ -71,18 +82,20 @@ def complete_runs(scan_runs: DataFrame) -> DataFrame:
     return runs.select("root", "snapshot_id", F.lag("snapshot_id").over(order).alias("previous"))
 
 
-def current_rows(snapshots: DataFrame, scan_runs: DataFrame) -> DataFrame:
+def current_rows(snapshots: DataFrame, scan_runs: DataFrame, max_roots: int = MAX_ROOTS) -> DataFrame:
     """One row per complete (root, snapshot_id, path): the one delivered last; ties go to the larger time and size.
 
     Paths are NFC with ``/``; rows with a null path or under no scan root are no part of any snapshot.
     """
     runs = complete_runs(scan_runs)
-    found = [r[0] for r in runs.select("root").distinct().limit(MAX_ROOTS + 1).collect()]
-    if len(found) > MAX_ROOTS:
-        raise ValueError(f"more than {MAX_ROOTS} scan roots")
     # a root without a complete walk still shields its rows from a shorter root above it
-    every = {r[0] for r in scan_runs.select("root").distinct().limit(MAX_ROOTS + 1).collect() if r[0]}
-    place = _canonical(every)(F.col("path"))
+    roots = scan_runs.filter("root <> ''").select("root").distinct()
+    every = [r[0] for r in roots.limit(max_roots + 1).collect()]
+    if len(every) <= max_roots:
+        place = _canonical(set(every))(F.col("path"))
+    else:
+        places = _placed_by_join(snapshots.select(F.col("path").alias("raw")).filter("raw is not null").distinct(), roots)
+        snapshots, place = snapshots.drop("place", "raw").withColumn("raw", F.col("path")).join(places, "raw"), F.col("place")
     rows = snapshots.select(
         "snapshot_id",
         place.alias("place"),

@@ -35,6 +35,16 @@ def test_changes(spark):
     assert changes(spark, rows, runs) == [(3, "/a/new", "added"), (3, "/a/x", "changed"), (3, "/a/z", "removed"), (3, "/ab/q", "changed")]
 
 
+def test_very_many_roots(spark):
+    from siftline.operators.snapshots import current_rows
+
+    data = [(1, "\\r\\2\\a", 1, 1, T), (1, "/r/2", 1, 1, T), (1, "/r/22/a", 1, 1, T), (1, "/r/2/in/b", 1, 1, T), (1, None, 1, 1, T), (1, "/r/2/cafe\u0301", 1, 1, T), (1, "/else", 1, 1, T)]
+    rows = spark.createDataFrame([(*r, "x", 1) for r in data], ROWS)
+    runs = spark.createDataFrame([(1, f"/r/{i}", T, True) for i in range(20)] + [(1, "/r/2/in", T, False)], RUNS)
+    one, two = (sorted(tuple(r) for r in current_rows(rows, runs, most).collect()) for most in (100, 5))
+    assert one == two and {r[2] for r in one} == {"/r/2", "/r/2/a", "/r/2/caf\xe9"}
+
+
 def test_units_and_forms(spark):
     runs = [(1, "C:/u", T, True), (2, "C:/u", T, True)]
     assert changes(spark, [(1, "C:\\u\\e\u0301", 1_700_000_000, 1, T), (2, "C:/u/\xe9", 1_700_000_000_999, 1, T)], runs) == []
