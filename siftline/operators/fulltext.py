@@ -41,7 +41,7 @@ def full_postings(docs: DataFrame) -> DataFrame:
     """The postings of a TextIndex; null texts are empty."""
     rows = docs.select("path", "extension", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in FIELDS])).alias("x"))
     rows = rows.select("path", "extension", "x.field", F.size("x.terms").cast("long").alias("dl"), F.explode("x.terms").alias("term"))
-    counted = rows.groupBy("term", "field", "path").agg(F.count("*").alias("tf"), F.first("extension").alias("extension"), F.first("dl").alias("dl"))
+    counted = rows.groupBy("term", "field", "path", "extension", "dl").agg(F.count("*").alias("tf"))
     return counted.select("term", "field", "path", "extension", "tf", "dl", _bucket(F.col("term")).alias("bucket"))
 
 

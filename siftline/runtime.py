@@ -35,7 +35,7 @@ def stage(df: DataFrame, name: str, by: tuple | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}-{name}"
     if by:
-        df.repartition(by[0]).sortWithinPartitions(*by).write.partitionBy(by[0]).option("compression", "zstd").parquet(path)
+        laid_out(df, by).write.partitionBy(by[0]).option("compression", "zstd").parquet(path)
     else:
         df.write.option("compression", "zstd").parquet(path)
     if not _STAGED:
@@ -53,6 +53,12 @@ def unstage(df: DataFrame) -> None:
     _remove(_STAGED.pop(path), path)
 
 
+def laid_out(df: DataFrame, by: tuple, folders: int = 64) -> DataFrame:
+    """Rows of one value of ``by[0]`` together and sorted; where there are more tasks than values, a value is spread by ``by[1]``."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by[: 1 if tasks <= folders else 2]).sortWithinPartitions(*by)
+
+
 @contextmanager
 def staging():
     """Removes the tables staged within at its end; what comes out must not read them."""

@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.functions.constants import SCHEMA_VERSION
+from siftline.runtime import laid_out
 
 #: Appended parts of a table after which it is written anew as one.
 MAX_PARTS = 64
@@ -138,7 +139,7 @@ class Store:
     def _write(self, name: str, generation: int, df: DataFrame, by: tuple | None = None) -> str:
         path = f"{name}/g{generation:06d}-{uuid.uuid4().hex[:8]}"
         if by:
-            df.repartition(by[0]).sortWithinPartitions(*by).write.partitionBy(by[0]).parquet(f"{self.files.root}/{path}")
+            laid_out(df, by).write.partitionBy(by[0]).parquet(f"{self.files.root}/{path}")
         else:
             df.write.parquet(f"{self.files.root}/{path}")
         return path
