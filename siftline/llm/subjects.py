@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.words import WordIds, mix
-from siftline.runtime import stage
+from siftline.runtime import bounded_broadcast, stage
 
 #: Most labelled examples held on the driver; a larger table is sampled down to this many.
 MAX_EXAMPLES = 50_000
@@ -34,6 +34,8 @@ SAMPLES, LISTS = 32, 8
 SIMILAR = 0.2
 #: Places of each seed in a list, so that no document of a long one is far from one.
 SEED_PLACES = 16
+#: Entries of a list, or of a segment of a longer one, that one task links at a time.
+SEGMENT = 20_000
 #: Power to which labels are raised before terms learn from them.
 CLEARER = 4
 #: How far the share of one subject in the documents of a term must be from its share in all documents towards 1, after two standard errors.
@@ -188,47 +190,84 @@ def _sketch(shared):
 
 
 def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verified edges between neighbours of each list, and from each entry to the seeds before and behind it."""
-    rest: pd.DataFrame | None = None
+    """Verified edges between neighbours of each list, and from each entry to the seeds before and behind it.
+
+    A list, or a segment of a long one, is seen as a whole whatever the batches are. Entries of other segments (``lent``) make
+    edges with the segment's own alone.
+    """
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        # the end of a batch is seen again, so that its list goes on
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        rest = pdf.iloc[-64:]
-        key, ids = pdf["key"].to_numpy(), pdf["id"].to_numpy()
-        sample = np.frombuffer(b"".join(pdf["sample"]), np.uint16).reshape(len(pdf), -1)
-        at = np.arange(len(pdf))
-        seeds = np.flatnonzero(ids & 1)
-        plain = np.flatnonzero(~ids & 1)
-        ends = [np.stack([plain[:-1], plain[1:]], 1)]
-        if len(seeds):
-            before = np.searchsorted(seeds, at)
-            ends.append(np.stack([at[before > 0], seeds[before[before > 0] - 1]], 1))
-            behind = np.searchsorted(seeds, at, side="right")
-            ends.append(np.stack([at[behind < len(seeds)], seeds[behind[behind < len(seeds)]]], 1))
-        a, b = np.concatenate(ends).T
-        same = (key[a] == key[b]) & (ids[a] != ids[b])
-        a, b = a[same], b[same]
-        sim = (sample[a] == sample[b]).mean(1)
-        a, b, sim = a[sim >= SIMILAR], b[sim >= SIMILAR], sim[sim >= SIMILAR]
-        if len(a):
-            out = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "w": sim * sim})
-            yield out.drop_duplicates(["a", "b"])
-
-
-def document_graph(parsed: DataFrame, general: np.ndarray) -> DataFrame:
+        if not len(pdf):
+            continue
+        key, segment = pdf["key"].to_numpy(), pdf["segment"].to_numpy()
+        # the last segment of a batch may go on in the next one
+        last = np.flatnonzero((key != key[-1]) | (segment != segment[-1]))
+        cut = last[-1] + 1 if len(last) else 0
+        if held and (cut or held[-1]["key"].iloc[-1] != key[-1] or held[-1]["segment"].iloc[-1] != segment[-1]):
+            yield from _edges_of(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+            held = []
+        elif cut:
+            yield from _edges_of(pdf.iloc[:cut])
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield from _edges_of(pd.concat(held, ignore_index=True))
+
+
+def _edges_of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    key, ids, segment, lent = (pdf[c].to_numpy() for c in ("key", "id", "segment", "lent"))
+    sample = np.frombuffer(b"".join(pdf["sample"]), np.uint16).reshape(len(pdf), -1)
+    at = np.arange(len(pdf))
+    seeds = np.flatnonzero(ids & 1)
+    plain = np.flatnonzero(~ids & 1)
+    ends = [np.stack([plain[:-1], plain[1:]], 1)]
+    if len(seeds):
+        before = np.searchsorted(seeds, at)
+        ends.append(np.stack([at[before > 0], seeds[before[before > 0] - 1]], 1))
+        behind = np.searchsorted(seeds, at, side="right")
+        ends.append(np.stack([at[behind < len(seeds)], seeds[behind[behind < len(seeds)]]], 1))
+    a, b = np.concatenate(ends).T
+    same = (key[a] == key[b]) & (segment[a] == segment[b]) & (ids[a] != ids[b]) & ~(lent[a] & lent[b])
+    a, b = a[same], b[same]
+    sim = (sample[a] == sample[b]).mean(1)
+    a, b, sim = a[sim >= SIMILAR], b[sim >= SIMILAR], sim[sim >= SIMILAR]
+    if len(a):
+        out = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "w": sim * sim})
+        yield out.drop_duplicates(["a", "b"])
+
+
+def _lent(lists: DataFrame) -> DataFrame:
+    """The entries of long lists next to each segment: the plain one and the seed before it, and the seed behind it."""
+    entry, seed = F.struct("order", "id", "sample"), F.col("id") % 2 == 1
+    ends = lists.filter("segments > 1").groupBy("key", "segment").agg(
+        F.max(F.when(~seed, entry)).alias("plain"), F.max(F.when(seed, entry)).alias("seed"), F.min(F.when(seed, entry)).alias("first")
+    )
+    order = Window.partitionBy("key").orderBy("segment")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    near = F.array(F.last("plain", True).over(before), F.last("seed", True).over(before), F.first("first", True).over(behind))
+    return ends.withColumn("near", near).select("key", "segment", F.explode("near").alias("e")).filter("e is not null").select("e.id", "e.sample", "key", "e.order", "segment", F.lit(True).alias("lent"))
+
+
+def document_graph(parsed: DataFrame, general: np.ndarray, segment: int = SEGMENT) -> DataFrame:
     """(a, b, w), a < b: verified edges between similar nodes, every node having a few whatever the number of nodes.
 
     ``general`` holds the hashes (ascending) of terms that say nothing of similarity.
 
-    A list of documents that share a sampled term is sorted by a hash and cut into ranges, so that a term that a third of all
-    documents share is spread over many tasks; only neighbours in it are compared.
+    A list of documents that share a sampled term is sorted by a hash, and only neighbours in it are compared. One that a third
+    of all documents share is cut into segments of about ``segment`` entries for many tasks; each segment is lent the entries
+    next to it, so that the edges are those of the whole list.
     """
     shared = parsed.sparkSession.sparkContext.broadcast(general)
     sketches = stage(parsed.select("id", "words").mapInPandas(_sketch(shared), "id long, keys array<long>, sample binary"), "subject-samples")
     places = F.explode(F.when(F.col("id") % 2 == 1, F.sequence(F.lit(0), F.lit(SEED_PLACES - 1))).otherwise(F.array(F.lit(0)))).alias("place")
     lists = sketches.select("id", "sample", "keys", places).select("id", "sample", F.explode("keys").alias("key"), F.xxhash64("id", "place").alias("order"))
-    parts = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lists.repartitionByRange(parts, "key", "order").sortWithinPartitions("key", "order")
+    long = lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > segment)
+    long = stage(long.select("key", F.ceil(F.col("n") / segment).cast("int").alias("segments")), "long-lists")
+    lists = lists.join(bounded_broadcast(long, MAX_BROADCAST), "key", "left")
+    # the hash's range is cut evenly
+    lists = lists.withColumn("segment", F.coalesce(F.floor((F.shiftright("order", 32) + (1 << 31)) * F.col("segments") / (1 << 32)).cast("int"), F.lit(0)))
+    columns = ["id", "sample", "key", "order", "segment"]
+    whole = lists.select(*columns, F.lit(False).alias("lent")).unionByName(_lent(lists))
+    spread = whole.repartition("key", "segment").sortWithinPartitions("key", "segment", "order", "id", "sample")
     return spread.mapInPandas(_link, "a long, b long, w double").groupBy("a", "b").agg(F.first("w").alias("w"))
 
 

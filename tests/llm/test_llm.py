@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("siftline.llm")
@@ -291,6 +292,38 @@ def test_propagation_decides(spark):
     assert _subjects(spark, 3, max_broadcast=0) == got
 
 
+def test_edges_do_not_hang_on_batches_and_segments(spark):
+    """One list of 600 entries, in small batches and segments: the edges are those of the list as a whole."""
+    rng = np.random.default_rng(12)
+    common = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    node = lambda i: np.append(common, rng.integers(0, 2**63, 3, dtype=np.uint64)).tobytes()
+    parsed = spark.createDataFrame([(2 * i, node(i)) for i in range(584)] + [(2 * i + 1, node(i)) for i in range(1)], "id long, words binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        edges = lambda **o: {(r["a"], r["b"]) for r in subjects.document_graph(parsed, np.zeros(0, dtype=np.uint64), **o).collect()}
+        got, cut = edges(), edges(segment=37)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sketches = pd.concat(subjects._sketch(_Shared(np.zeros(0, dtype=np.uint64)))([parsed.toPandas()]))
+    rows = [(int(r.id), int(k), p) for r in sketches.itertuples() for k in r.keys for p in range(subjects.SEED_PLACES if r.id % 2 else 1)]
+    lists = spark.createDataFrame(rows, "id long, key long, place int").selectExpr("key", "id", "xxhash64(id, place) AS h").orderBy("key", "h").collect()
+    sample = {r.id: np.frombuffer(r.sample, np.uint16) for r in sketches.itertuples()}
+    want: set = set()
+    for i, x in enumerate(lists):
+        for seed in (False, True):
+            for side in (lists[i + 1 :], lists[:i][::-1]):
+                y = next((y for y in side if y["key"] != x["key"] or (y["id"] % 2 == 1) == seed), None)
+                if y and y["key"] == x["key"] and y["id"] != x["id"] and (seed or x["id"] % 2 == 0):
+                    want.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
+    want = {(a, b) for a, b in want if (sample[a] == sample[b]).mean() >= subjects.SIMILAR}
+    assert len(want) > 1000 and got == cut == want
+
+
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
 def test_no_seeds(spark):
     docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
     examples = spark.createDataFrame([], "example_id long, text string, subjects array<string>")
