@@ -383,6 +383,21 @@ def test_joined_lexicon_reads_alike(spark, sf, monkeypatch):
     assert rows(ocr.line_marks(pages, max_words=0)) == marks
 
 
+def test_words_beyond_the_vectors_learned_together_are_linked(spark, sf):
+    """With vectors of 100 words learned together, all others that are seen often have one too, and words are still corrected."""
+    pages = spark.read.parquet(f"{sf}/ocr_results.parquet")
+    text = ocr.usable_pages(pages).select("text").distinct()
+    counts = ocr.word_counts(text).persist()
+    vectors = ocr.learn_vectors(text, counts, most=100)
+    others = {r["word"]: np.frombuffer(r["vector"], np.float32) for r in ocr.other_vectors(text, vectors).collect()}
+    often = {r["word"] for r in ocr._tokens(text).selectExpr("explode(tokens) AS word").groupBy("word").count().filter(f"count >= {ocr.MIN_VECTOR}").collect()}
+    assert len(vectors) == 100 and not set(vectors) & set(others) and set(vectors) | set(others) == often and len(often) > 300
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-4 for v in others.values())
+    rows = lambda **o: {tuple(r) for r in ocr.line_marks(pages, **o).collect() if r["kind"] == "misread"}
+    whole, few = rows(), rows(max_vectors=100)
+    assert len(whole & few) >= 0.9 * len(whole)
+
+
 def test_headers_that_recur_far_apart(spark):
     n = ocr.BLOCK_PAGES
     body = "the modern house is below the water and the day"
