@@ -176,6 +176,33 @@ def test_similar_names_against_brute_force(spark):
     assert got == {(a, b) for a, b in brute(sets, 0.7) if names[a] != names[b]}
 
 
+def test_long_lists_of_keys_are_refined(spark, monkeypatch):
+    """Of names that share parts, the keys of long lists get an element more: the same pairs, from fewer pairs looked at."""
+    rng = np.random.default_rng(8)
+    letters = list("abcd")
+    names = {i: "quarterly_" + "".join(rng.choice(letters, rng.integers(3, 16))) + "_minutes" for i in range(500)}
+    names |= {1000 + i: x[:-3] + "z" + x[-2:] for i, x in names.items() if i < 100}
+    df = spark.createDataFrame(list(names.items()), "id long, filename string")
+    sets = {i: {neardup.bare_name(x)[j : j + 3] for j in range(len(neardup.bare_name(x)) - 2)} for i, x in names.items()}
+    want = {(a, b) for a, b in brute(sets, 0.7) if names[a] != names[b]}
+    pdf = neardup.name_sets(df.withColumnRenamed("filename", "text")).toPandas().drop_duplicates("class")
+    counts = next(neardup._count(iter([pdf])))
+    counts = np.concatenate([np.frombuffer(neardup.zlib.decompress(c), np.int64) for c in counts["counts"]])
+
+    def looked_at(of_keys=None):
+        keys = neardup._keyed(pdf, counts, 0.7, 2, of_keys)[0]
+        n = np.unique(keys, return_counts=True)[1]
+        return int((n * (n - 1) // 2).sum())
+
+    of_keys = np.bincount((neardup._keyed(pdf, counts, 0.7, 2)[0] & np.uint64(neardup.SKETCH - 1)).astype(np.int64), minlength=neardup.SKETCH)
+    monkeypatch.setattr(neardup, "WORTH", 0)
+    for most in (10_000, 3):
+        monkeypatch.setattr(neardup, "REFINE", most)
+        assert {tuple(r) for r in neardup.similar_names(df, "id", "filename", 0.7).collect()} == want
+    monkeypatch.setattr(neardup, "REFINE", 3)
+    assert len(want) > 90 and looked_at(of_keys) < 0.8 * looked_at()
+
+
 def test_hot_class_is_a_star(spark):
     members = spark.createDataFrame([(i, 0, 5) for i in range(5)], "id long, class_id long, copies long")
     links = spark.createDataFrame([], "a long, b long, jaccard double")
